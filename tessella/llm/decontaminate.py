@@ -17,47 +17,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.text import ASCII_WORDS, words
+from tessella.llm.hashing import grams, hashes
+from tessella.llm.text import ASCII_WORDS
 from tessella.runtime import ship, small_batches
 
 SPAN, GRAM = 10, 5
 BLOCK_WORDS = 2_000_000
-VOCABULARY = 1_000_000
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        v = self[word] = xxhash.xxh3_64_intdigest(word)
-        return v
-
-    def of(self, text: str | None, table: bytes = ASCII_WORDS) -> np.ndarray:
-        if len(self) > VOCABULARY:
-            self.clear()
-        w = words(text, table)
-        return np.fromiter(map(self.__getitem__, w), np.uint64, len(w))
-
-
-_hashes = WordHashes()
-
-
-def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of n words."""
-    if len(h) < n:
-        return np.empty(0, np.uint64)
-    m = len(h) - n + 1
-    out = np.zeros(m, np.uint64)
-    for k in range(n):
-        out = (out ^ h[k : k + m]) * MIX
-        out ^= out >> np.uint64(29)
-    return out
 
 
 def winnow(g: np.ndarray, window: int) -> np.ndarray:
@@ -148,7 +117,7 @@ def blocks(items: DataFrame, item_id: str, text: str, limit: int) -> Iterator[li
     """Items in blocks of about `limit` words; the driver holds one block at a time."""
     held, size = [], 0
     for row in items.select(item_id, text).where(F.col(item_id).isNotNull()).toLocalIterator():
-        h = _hashes.of(row[1])
+        h = hashes.of(row[1], ASCII_WORDS)
         if len(h):
             held.append((row[0], h))
             size += len(h)
@@ -180,7 +149,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
             for b in batches:
                 n, spans, ids = [], [], []
                 for t, old_spans, old_ids in zip(b["__text"], b["spans"], b["items"], strict=True):
-                    h = _hashes.of(t if isinstance(t, str) else None)
+                    h = hashes.of(t if isinstance(t, str) else None, ASCII_WORDS)
                     hit, items_ = index.hits(h) if index else (np.zeros(len(h), bool), set())
                     if old_spans is not None:
                         for s in old_spans:

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.decontaminate import contamination, digest
+from tessella.llm.jaccard import jaccard_components
 from tessella.llm.language import identify
 from tessella.llm.packing import pack
 from tessella.llm.token_counts import count_tokens
@@ -30,7 +31,11 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_language_id, op6_token_counts, op9_benchmark_decontamination)}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=3, num=90, den=100)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_language_id, op6_token_counts, op9_benchmark_decontamination, op10_ngram_jaccard_join)}
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
