@@ -7,7 +7,7 @@ import xxhash
 
 from tessella.llm.text import words
 
-VOCABULARY = 1_000_000
+VOCABULARY = 300_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -38,7 +38,7 @@ from tessella.runtime import materialize, shuffle_partitions, ship, small_batche
 BITMAP_BITS = 27
 FREQUENT = 1 << 20
 OFTEN = 4
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 LEAST_RANGES = 512
 
 
