@@ -9,6 +9,7 @@ from tessella.llm.decontaminate import contamination, digest
 from tessella.llm.fingerprints import compare_edits
 from tessella.llm.jaccard import jaccard_components
 from tessella.llm.language import identify
+from tessella.llm.line_dedup import dedup_lines
 from tessella.llm.packing import pack
 from tessella.llm.token_counts import count_tokens
 from tessella.runtime import table
@@ -24,6 +25,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op5_language_id, op6_token_counts, op9_benchmark_decontamination, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op4_line_dedup, op5_language_id, op6_token_counts, op9_benchmark_decontamination, op10_ngram_jaccard_join)}
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
