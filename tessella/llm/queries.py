@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm.decontaminate import contamination, digest
 from tessella.llm.fingerprints import compare_edits
 from tessella.llm.jaccard import jaccard_components
 from tessella.llm.language import identify
+from tessella.llm.license_scan import scan_licenses
 from tessella.llm.line_dedup import dedup_lines
 from tessella.llm.packing import pack
+from tessella.llm.sharding import ShardStore, shard_members
 from tessella.llm.token_counts import count_tokens
-from tessella.runtime import table
+from tessella.runtime import scratch_dir, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -25,6 +30,11 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", "dice", F.size("matches").cast("long").alias("n_matches"), "matches")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -37,6 +47,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = ShardStore(spark, f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}")
+    store.append(table(spark, sf_dir, "documents"))
+    store.compact()
+    store.vacuum()
+    return shard_members(store).select("doc_id", "shard", "version", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -45,7 +63,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op4_line_dedup, op5_language_id, op6_token_counts, op9_benchmark_decontamination, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op3_license_scan, op4_line_dedup, op5_language_id, op6_token_counts, op8_sharding, op9_benchmark_decontamination, op10_ngram_jaccard_join)}
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
