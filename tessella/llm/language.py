@@ -167,8 +167,8 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """Predictions for all documents from prototypes of the rows outside fold 2."""
+def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, held_out, lang_pred and score of all documents, from prototypes of the rows outside fold 2."""
     held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))
     model = learn(docs.where(~held))
-    return predict(docs.withColumn("held_out", held), model, keep=("doc_id", "held_out"))
+    return predict(docs.select(*keep, "text" if "text" not in keep else F.col("text").alias("__raw"), held.alias("held_out")), model, text="text" if "text" not in keep else "__raw", keep=(*keep, "held_out"))

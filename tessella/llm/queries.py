@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.decontaminate import contamination, digest
 from tessella.llm.fingerprints import compare_edits
+from tessella.llm.html_extract import extract_text
 from tessella.llm.jaccard import jaccard_components
 from tessella.llm.language import identify
 from tessella.llm.license_scan import scan_licenses
@@ -47,6 +48,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = ShardStore(spark, f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}")
     store.append(table(spark, sf_dir, "documents"))
@@ -63,7 +68,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op3_license_scan, op4_line_dedup, op5_language_id, op6_token_counts, op8_sharding, op9_benchmark_decontamination, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op3_license_scan, op4_line_dedup, op5_language_id, op6_token_counts, op7_html_extraction, op8_sharding, op9_benchmark_decontamination, op10_ngram_jaccard_join)}
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
