@@ -112,12 +112,12 @@ def transfers(have: list[Range], want: list[Range], merge: str = "all") -> list[
     if not all(len(r) for r in common):
         return []
     a, b, c = ([len(r) for r in box] for box in (have, want, common))
-    inner, k = 1, len(c)
-    while k:
+    inner, k, least = 1, len(c), 1 if merge == "notFirst" else 0
+    while k > least:
         k -= 1
         inner *= c[k]
         whole = c[k] == a[k] == b[k]
-        if not whole or merge == "none" or merge == "notFirst" and k == 1:
+        if not whole or merge == "none":
             break
     outer = [np.arange(n) for n in c[:k]]
     at = np.stack(np.meshgrid(*outer, indexing="ij"), -1).reshape(-1, k) if k else np.zeros((1, 0), int)
