@@ -64,7 +64,7 @@ class Scanner:
             if hit[-1] < t * b / 2:
                 continue
             low, high = b * t / (2 - t), b * (2 - t) / t
-            inside = hit[np.minimum(np.maximum(end - 1, start), len(codes))] - hit[np.minimum(start, len(codes))]
+            inside = hit[np.minimum(end, len(codes))] - hit[np.minimum(start, len(codes))]
             for i in np.flatnonzero(inside > 0):
                 # Bigrams of the run of lines i..j: words in it less one.
                 lo = np.searchsorted(end, start[i] + low + 1 - 1e-9, "left")
