@@ -1,7 +1,7 @@
 """HDF5 and NetCDF-4 metadata: superblocks 0-3, object headers 1 and 2, old and new groups, layouts 1-3, dimension scales.
 
-Written from the public file format specification. Data layout version 4, dense attribute storage and filters other
-than deflate, shuffle and fletcher32 raise NotImplementedError when they are met.
+Written from the public file format specification. Data layout version 4 and filters other than deflate, shuffle and
+fletcher32 raise NotImplementedError when they are met.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import numpy as np
 
 from tessella.functions.convert import HIDDEN_ATTRIBUTES, NON_COORD, NOT_A_VARIABLE
 from tessella.model import ENUMS, Attribute, Datatype, Dimension, Group, Member, Variable, replace, valid_name
+from tessella.sources.h5_dense import dense_objects
 
 UNDEFINED = (1 << 64) - 1
 SIGNED = {1: "byte", 2: "short", 4: "int", 8: "int64"}
@@ -132,12 +133,14 @@ class File:
         elif kind == 2:
             o.is_group = True
             at = 2 + (8 if d[1] & 1 else 0)
-            if len(d) >= at + 8 and struct.unpack("<Q", d[at : at + 8])[0] != UNDEFINED:
-                raise NotImplementedError("groups with dense link storage")
+            heap, names = struct.unpack("<QQ", d[at : at + 16])
+            if heap != UNDEFINED:
+                o.links += [link for m in dense_objects(self.at, heap, names, 4) if (link := hard_link(m))]
         elif kind == 0x15:
             at = 2 + (2 if d[1] & 1 else 0)
-            if struct.unpack("<Q", d[at : at + 8])[0] != UNDEFINED:
-                raise NotImplementedError("dense attribute storage")
+            heap, names = struct.unpack("<QQ", d[at : at + 16])
+            if heap != UNDEFINED:
+                o.attributes += [self._attribute(m) for m in dense_objects(self.at, heap, names, 0)]
 
     def _symbols(self, tree: int, heap: int) -> list[tuple[str, int]]:
         text = struct.unpack("<Q", self.at(heap + 24, 8))[0]

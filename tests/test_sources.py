@@ -113,6 +113,56 @@ def test_hdf5_dimension_scales(tmp_path):
     assert ds.root.find_variable("lon") is None and ds.root.find_variable("z") is not None and ds.root.find_variable("lat") is not None
 
 
+def dense(w, objects, kind, record, heads):
+    """A fractal heap and a version 2 B-tree (leaf, or two leaves under an inner node) over objects; their addresses."""
+    first, width = 512, 4
+    blocks, held, ids = [], b"\0" * 20, []
+    for o in objects:
+        if len(held) + len(o) > first:
+            blocks.append(held.ljust(first, b"\0"))
+            held = b"\0" * 20
+        ids.append((len(blocks) * first + len(held), len(o)))
+        held += o
+    blocks.append(held.ljust(first, b"\0"))
+    places = [w.add(b"FHDB" + b[4:]) for b in blocks]
+    rows = 0
+    root = places[0]
+    if len(places) > 1:
+        rows = -(-len(places) // width)
+        root = w.add(b"FHIB" + bytes(1) + bytes(8) + bytes(4) + b"".join(struct.pack("<Q", p) for p in places + [2**64 - 1] * (rows * width - len(places))) + bytes(4))
+    heap = struct.pack("<4sBHHBI", b"FRHP", 0, 7, 0, 0, 4096) + bytes(96) + struct.pack("<HQQHHQH", width, first, 65536, 32, 1, root, rows) + bytes(8)
+    made = [head + struct.pack("<BIH", 0, at, n) for head, (at, n) in zip(heads, ids, strict=True)] if kind == 5 else [struct.pack("<BIHB", 0, at, n, 0) + head for head, (at, n) in zip(heads, ids, strict=True)]
+    assert all(len(r) == record for r in made)
+    leaf = lambda r: w.add(b"BTLF" + bytes([0, kind]) + b"".join(r) + bytes(4))
+    depth, k = 0, len(made) // 2
+    if k > 2:
+        a, b = leaf(made[:k]), leaf(made[k + 1 :])
+        top, n, depth = w.add(b"BTIN" + bytes([0, kind]) + made[k] + struct.pack("<QBQB", a, k, b, len(made) - k - 1) + bytes(4)), 1, 1
+    else:
+        top, n = leaf(made), len(made)
+    tree = w.add(struct.pack("<4sBBIHHBBQHQ", b"BTHD", 0, kind, 512, record, depth, 100, 40, top, n, len(made)) + bytes(4))
+    return w.add(heap), tree
+
+
+@pytest.mark.parametrize("count", [3, 40])
+def test_hdf5_dense_groups_and_attributes(tmp_path, count):
+    w = W.H5Writer()
+    links = []
+    for k in range(count):
+        child = w.dataset(W.h5_fixed(4), np.array([k], "<i4"), [1])
+        name = f"variable_{k:02d}".encode()
+        links.append(struct.pack("<BBB", 1, 0, len(name)) + name + struct.pack("<Q", child))
+    heap, tree = dense(w, links, 5, 11, [struct.pack("<I", k) for k in range(count)])
+    atts = [w.text(f"att{k}", f"value {k}")[1] for k in range(4)]
+    aheap, atree = dense(w, atts, 8, 17, [struct.pack("<BII", 0, k, k) for k in range(4)])
+    root = w.header([(2, struct.pack("<BBQQ", 0, 0, heap, tree)), (0x15, struct.pack("<BBQQ", 0, 0, aheap, atree))])
+    path = write(tmp_path, "dense.h5", w.finish(root))
+    ds = open_dataset(path)
+    assert [v.name for v in ds.root.variables] == [f"variable_{k:02d}" for k in range(count)]
+    assert [int(values(path, f"variable_{k:02d}")[0]) for k in range(count)] == list(range(count))
+    assert {a.name: a.values for a in ds.root.attributes} == {f"att{k}": (f"value {k}",) for k in range(4)}
+
+
 def test_hdf4(tmp_path):
     w = W.H4Writer()
     a = np.arange(12, dtype=">i2")
@@ -188,3 +238,13 @@ def test_odl():
     from tessella.model import Group
 
     assert odl.apply(Group(""), "END_GROUP=x") is False
+
+
+def test_format_numbers():
+    from tessella.sources import sniff as S
+
+    assert S.format_name(3) == "NC_FORMAT_NETCDF4" and S.extended_name(10) == "NC_FORMATX_NCZARR"
+    assert S.is_classic("NC_FORMAT_64BIT_DATA") and S.is_netcdf4("NC_FORMAT_NETCDF4_CLASSIC") and not S.is_extended_model("NC_FORMAT_CLASSIC")
+    for f in (S.format_name, S.extended_name):
+        with pytest.raises(ValueError, match="unknown"):
+            f(77)
