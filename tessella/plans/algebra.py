@@ -320,12 +320,13 @@ SEGMENTS = "(SELECT s_suppkey AS seg, sum(s_nationkey + 1) OVER (ORDER BY s_supp
 
 
 def segments(spark, d):
-    """Segments of irregular length with their first and end element, by block sums and sums inside blocks."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("seg"), (F.col("s_nationkey") + 1).cast("long").alias("n"), F.floor(F.col("s_suppkey") / 256).alias("block"))
-    blocks = s.groupBy("block").agg(F.sum("n").alias("k"))
-    before = blocks.alias("a").join(blocks.alias("b"), F.col("b.block") < F.col("a.block"), "left").groupBy("a.block").agg(F.coalesce(F.sum("b.k"), F.lit(0)).alias("base"))
+    """Segments of irregular length with their first and end element: running sums inside blocks of 65,536 segments, and
+    over the blocks' totals, of which there are few enough for one task."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("seg"), (F.col("s_nationkey") + 1).cast("long").alias("n"), F.floor(F.col("s_suppkey") / 65536).alias("block"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = s.groupBy("block").agg(F.sum("n").alias("k")).select("block", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))
     hi = F.col("base") + F.sum("n").over(Window.partitionBy("block").orderBy("seg"))
-    return s.join(before, "block").select("seg", (hi - F.col("n")).alias("lo"), hi.alias("hi"))
+    return s.join(bases, "block").select("seg", (hi - F.col("n")).alias("lo"), hi.alias("hi"))
 
 
 @query(f"SELECT seg, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM {SEGMENTS}")
