@@ -37,7 +37,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("nav aside footer form menu dialog button select option label fieldset head".split())
 ENDS_P = BLOCK - {"body", "html"}
-HINTS = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|related|recommended|share|sharing|social|comments?|disqus|respond|replies|footer|masthead|toolbar|pagination|pager|newsletter|subscribe|signup|login|search|skip)(?:$|[-_\s\d])", re.I)
+# Words of class names and ids that name a part of a page which is no article text.
+HINTS = re.compile(
+    r"(?:^|[-_])(?:ads?|ad(?:box|slot|unit|banner)s?|advert\w*|adsense|banners?|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notices?|alerts?|popup\w*|modal|overlay|nav|navbar\w*|navigation"
+    r"|menu\w*|breadcrumbs?|sidebar\w*|widgets?|related\w*|recommended|recommendations|share|sharing|sharebar|social\w*|comment\w*|disqus|respond|replies|footer\w*|masthead|toolbar|topbar"
+    r"|pagination|pager|newsletter\w*|subscri\w*|signup|login|search|skip)(?:$|[-_\d])",
+    re.I,
+)
+WHOLE = frozenset("side header site-header global-header top-header top-bar bottom copyright disclaimer".split())
+STATES = ("has-", "with-", "no-", "is-", "without-")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 LINK, HEADING, LIST = "word:link", "word:heading", "word:list"
 
@@ -49,7 +57,9 @@ def excluded(tag: str, attributes: str, in_article: bool) -> bool:
     if "=" not in attributes or tag in ("html", "body"):
         return False
     a = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)}
-    return a.get("role", "").lower() in ROLES or a.get("aria-hidden") == "true" or any(HINTS.search(a[k]) for k in ("class", "id") if k in a)
+    names = [t for k in ("class", "id") for t in a.get(k, "").lower().split() if not t.startswith(STATES)]
+    whole = WHOLE - {"header"} if in_article else WHOLE
+    return a.get("role", "").lower() in ROLES or a.get("aria-hidden") == "true" or any(t in whole or HINTS.search(t) for t in names)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:

@@ -193,3 +193,12 @@ def test_page_parts(spark):
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in extract_text(df).collect()}
     assert got[1] == (want, len(want)) and got[2] == got[3] == got[5] == ("", 0) and got[None][0] == "unclosed words here"
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_page_names():
+    body = "<p>Enough words of running text here to be a paragraph of the article.</p>"
+    x, want = Extractor(), "Enough words of running text here to be a paragraph of the article."
+    for wrap in ("has-sidebar", "side-by-side", "content", "post-header"):
+        assert x.extract(f"<div class='{wrap}'>{body}</div>") == want, wrap
+    for part in ("class=commentlist", "id=disqus_thread", "class='x ad-slot'", "class=side", "class=site-header", "role=banner", "class=adbox2", "class=cookiebar", "id=related-posts"):
+        assert x.extract(f"<div>{body}</div><div {part}><p>Other words that are not the article but stand beside it.</p></div>") == want, part
