@@ -54,7 +54,7 @@ def open_dataset(path: str, strict: bool = False) -> Dataset | None:
         tree = h5.Tree(path, strict, base)
         eos = h4.apply_struct_metadata(tree.root)
         return Dataset(path, "hdf-eos5" if eos else "netcdf4" if tree.is_netcdf4 else "hdf5", tree.root, n)
-    root = h4.read_tree(path)
+    root = h4.read_tree(path, strict)
     return Dataset(path, "hdf-eos2" if h4.apply_struct_metadata(root) else "hdf4", root, n)
 
 

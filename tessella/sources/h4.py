@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from tessella.functions.convert import FILL_SD
+from tessella.functions.convert import EOS_METADATA, FILL_SD
 from tessella.model import Attribute, Datatype, Dimension, Group, Member, Variable, valid_name
 from tessella.sources import odl
 
@@ -17,6 +17,7 @@ LINKED, COMPRESSED, NT, FILE_TEXT = 20, 40, 106, 101
 IMAGE_DIM, RASTER, RASTER_GROUP = 300, 302, 306
 SDD, SD, NDG, FV, VH, VS, VG = 701, 702, 720, 732, 1962, 1963, 1965
 NUMBERS = {3: ("char", 1), 4: ("char", 1), 5: ("float", 4), 6: ("double", 8), 20: ("byte", 1), 21: ("ubyte", 1), 22: ("short", 2), 23: ("ushort", 2), 24: ("int", 4), 25: ("uint", 4), 26: ("int64", 8), 27: ("uint64", 8)}
+PROMOTE_CHARS = 4000
 INNER_CLASSES = ("Var0.0", "Dim0.0", "UDim0.0", "CDF0.0", "RIG0.0", "RI0.0")
 
 
@@ -164,7 +165,7 @@ def counted(d: bytes, at: int) -> tuple[str, int]:
 
 
 class Tree:
-    def __init__(self, path: str):
+    def __init__(self, path: str, strict: bool = False):
         self.h = File(path)
         self.root = Group("")
         with self.h.f:
@@ -186,8 +187,25 @@ class Tree:
                 self.raster(ref)
             for k, ref in enumerate(reversed(self.h.of(FILE_TEXT))):
                 self.root.attributes.append(Attribute(f"FileAnnotation.{k + 1}", Datatype("string"), (self.h.raw(FILE_TEXT, ref).split(b"\0")[0].decode(errors="replace"),)))
+            if not strict:
+                self.promote()
         self.root.remove_empty()
 
+    def promote(self) -> None:
+        """EOS metadata texts become variables of a group of their own; other long texts become variables."""
+        home, stay = Group("EosMetadata", self.root), []
+        for a in self.root.attributes:
+            text = a.values[0] if a.is_string and len(a.values) == 1 else None
+            eos = a.name.lower().startswith(EOS_METADATA)
+            if text is not None and (eos or len(text) > PROMOTE_CHARS):
+                data = text.encode()
+                (home if eos else self.root).add_variable(Variable(a.name, Datatype("string", len(data)), (), (), {"kind": "bytes", "data": data, "heap": False}))
+            else:
+                stay.append(a)
+        self.root.attributes = stay
+        if home.variables:
+            self.root.groups.append(home)
+
     def pairs(self, tag: int, ref: int) -> list[tuple[int, int]]:
         d = self.h.raw(tag, ref)
         return [struct.unpack(">HH", d[k : k + 4]) for k in range(0, len(d), 4)]
@@ -295,8 +313,8 @@ class Tree:
             self.root.add_variable(Variable(f"Raster_Image_{ref}_lookup", Datatype("ubyte", 1), (Dimension("", n // 3, False), Dimension("", 3, False)), (), self.h.storage(301, found[301])))
 
 
-def read_tree(path: str) -> Group:
-    return Tree(path).root
+def read_tree(path: str, strict: bool = False) -> Group:
+    return Tree(path, strict).root
 
 
 def apply_struct_metadata(root: Group) -> bool:

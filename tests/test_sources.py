@@ -248,3 +248,30 @@ def test_format_numbers():
     for f in (S.format_name, S.extended_name):
         with pytest.raises(ValueError, match="unknown"):
             f(77)
+
+
+def test_eos_metadata_of_hdf4(tmp_path):
+    w = W.H4Writer()
+    text = ODL.replace("END\n", "")
+    att = w.vdata("StructMetadata.0", "Attr0.0", [("VALUES", 4, len(text), len(text))], 1, text.encode())
+    big = w.vdata("history", "Attr0.0", [("VALUES", 4, 5000, 5000)], 1, b"h" * 5000)
+    a = np.arange(24, dtype=">i2")
+    sd = w.data_set([3, 4, 2], 22, w.add(702, a.tobytes()))
+    field_ = w.vgroup([(720, sd)], "temp", "Var0.0")
+    fields = w.vgroup([(1965, field_)], "Data Fields", "GRID Vgroup")
+    w.vgroup([(1965, fields)], "My Grid", "GRID")
+    w.vgroup([(1962, att), (1962, big)], "file", "CDF0.0")
+    path = write(tmp_path, "eos.hdf", w.finish())
+    ds = open_dataset(path)
+    assert ds.type == "hdf-eos2"
+    assert ds.root.find_variable("/EosMetadata/StructMetadata.0") is not None and ds.root.find_variable("history") is not None
+    v = ds.root.find_variable("/My_Grid/Data_Fields/temp")
+    assert [(d.name, d.length) for d in v.dims] == [("Band", 3), ("XDim", 4), ("Other", 2)]
+    assert open_dataset(path, strict=True).root.find_attribute("history").values == ("h" * 5000,)
+
+
+def test_records():
+    from tessella.sources.structs import Record
+
+    r = Record(">").field("n", "H").array("tags", "H", "n").skip(1).text("name", lambda v: v["n"] + 1)
+    assert r.read(b"\0\2\0\5\0\6-abc") == ({"n": 2, "tags": [5, 6], "name": "abc"}, 10)
