@@ -17,6 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.columns import hide, show
 from tessella.llm.decontaminate import contamination
 from tessella.llm.jaccard import jaccard_components
 from tessella.llm.language import UNDETERMINED, identify
@@ -27,27 +28,35 @@ from tessella.runtime import materialize
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents to which a language can be given."""
-    return identify(docs, keep=tuple(docs.columns)).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    rows, names = hide(docs)
+    found = identify(rows, tuple(rows.columns), names["text"], names["doc_id"], names["lang"])
+    return show(found.where(F.col("lang_pred") != UNDETERMINED), names)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with one occurrence of each group of near-equal lines left in the corpus; n_chars follows the text."""
-    kept = dedup_lines(docs).where((F.col("n_kept") > 0) & (F.trim("text") != ""))
-    new = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    return kept.select(*[new.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    rows, names = hide(docs)
+    text = names["text"]
+    kept = dedup_lines(rows, text, names["doc_id"]).where((F.col("n_kept") > 0) & (F.trim(text) != ""))
+    if "n_chars" in names:
+        kept = kept.withColumn(names["n_chars"], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return show(kept, names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each component of near duplicates."""
-    extra = tuple(c for c in docs.columns if c != "doc_id")
-    found = jaccard_components(docs, extra=extra)
-    return found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(*docs.columns)
+    rows, names = hide(docs)
+    key = names["doc_id"]
+    found = jaccard_components(rows, text=names["text"], doc_id=key, extra=tuple(c for c in rows.columns if c != key))
+    return show(found.where(F.col(key).isNull() | (F.col(key) == F.col("component_id"))), names)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return contamination(docs, items, keep=tuple(docs.columns)).where(F.size("spans") == 0).select(*docs.columns)
+    rows, names = hide(docs)
+    found = contamination(rows, items, text=names["text"], keep=tuple(rows.columns))
+    return show(found.where(F.size("spans") == 0), names)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

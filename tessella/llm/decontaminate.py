@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm.columns import passing
 from tessella.llm.hashing import grams, hashes
 from tessella.llm.text import ASCII_WORDS
 from tessella.runtime import ship, small_batches
@@ -135,6 +136,7 @@ def runs(hit: np.ndarray) -> list[tuple[int, int]]:
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """keep columns, n_words, spans (hit runs of words, end exclusive) and items (ids, sorted as strings) of each document."""
+    keep = passing(keep, ("n_words", "spans", "items"))
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)

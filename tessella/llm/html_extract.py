@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.columns import passing
 from tessella.llm.labelled_pages import PAGES
 from tessella.runtime import ship, small_batches
 
@@ -193,6 +194,7 @@ class Extractor:
 
 def extract_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """keep columns, text (empty if none) and n_chars of every page, in one pass."""
+    keep = passing(keep, ("text", "n_chars"))
     spark = pages.sparkSession
     ship(spark)
     small_batches(spark)

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.columns import passing
 from tessella.llm.components import connected_components
 from tessella.llm.hashing import grams, hashes
 from tessella.llm.text import SPACE_WORDS
@@ -213,6 +214,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def jaccard_components(docs: DataFrame, shingle_words: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, extra columns, n_shingles and component_id of every row; links where den * |A & B| >= num * |A | B|."""
+    extra = passing(extra, ("n_shingles", "component_id"))
+    own, names = (doc_id, *extra), [f"__k{i}" for i in range(len(extra))]
+    docs = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__body"), *[F.col(c).alias(n) for c, n in zip(extra, names, strict=True)])
+    extra, text, doc_id = tuple(names), "__body", "__id"
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
@@ -271,4 +276,4 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, num: int = 80, d
     named = materialize(named, "named")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     out = rows.select(doc_id, *extra, F.col("n").cast("long").alias("n_shingles"), "s1", "s2").join(named.join(ids, "component").select("s1", "s2", "component_id"), ["s1", "s2"], "left")
-    return out.select(doc_id, *extra, "n_shingles", F.coalesce("component_id", doc_id).alias("component_id"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(own, (doc_id, *extra), strict=True)], "n_shingles", F.coalesce("component_id", doc_id).alias("component_id"))

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.columns import passing
 from tessella.llm.text import segments
 from tessella.runtime import ship, small_batches
 
@@ -139,6 +140,7 @@ def learn(rows: DataFrame, label: str = "lang", text: str = "text", key: str = "
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",), dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
     """keep columns, lang_pred and score (cosine, 0 to 1), in one pass."""
+    keep = passing(keep, ("lang_pred", "score"))
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
@@ -167,8 +169,10 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4
 
 
-def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", doc_id: str = "doc_id", label: str = "lang") -> DataFrame:
     """keep, held_out, lang_pred and score of all documents, from prototypes of the rows outside fold 2."""
-    held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))
-    model = learn(docs.where(~held))
-    return predict(docs.select(*keep, "text" if "text" not in keep else F.col("text").alias("__raw"), held.alias("held_out")), model, text="text" if "text" not in keep else "__raw", keep=(*keep, "held_out"))
+    held = F.coalesce(fold(F.col(doc_id)) == 2, F.lit(False))
+    model = learn(docs.where(~held), label, text, doc_id)
+    keep = passing(keep, ("held_out", "lang_pred", "score"))
+    rows = docs.select(*keep, F.col(text).alias("__raw"), held.alias("held_out"))
+    return predict(rows, model, text="__raw", keep=(*keep, "held_out"))

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.columns import passing
 from tessella.llm.license_texts import TEMPLATES
 from tessella.llm.text import ASCII_WORDS, words
 from tessella.runtime import ship, small_batches
@@ -89,6 +90,7 @@ class Scanner:
 
 def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """keep columns, matches (template, dice, first_line, last_line), and the best match's license and dice (null without)."""
+    keep = passing(keep, ("matches", "license", "dice"))
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tessella.llm.columns import passing
 from tessella.llm.text import segments
 from tessella.llm.token_counts import PATTERN, byte_symbols
 from tessella.runtime import materialize, ship, small_batches
@@ -143,6 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: st
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row."""
+    keep = passing(keep, ("piece", "start", "length", "ids_crc32", "sequence_id", "offset", "first"))
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)

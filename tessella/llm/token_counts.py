@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.columns import passing
 from tessella.llm.text import chunks, segments
 from tessella.runtime import ship, small_batches
 
@@ -181,6 +182,7 @@ def counter(path: str) -> Counter:
 
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 512) -> DataFrame:
     """`keep` columns, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of each row, in one pass without a shuffle."""
+    keep = passing(keep, ("n_bytes", "n_tokens", "over_limit"))
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)

@@ -60,6 +60,19 @@ def test_near_duplicates_alone(spark, corpus):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, corpus).collect()} == {3, 9}
 
 
+def test_clashing_columns(spark, corpus):
+    """Extra columns with names that operators use inside or return."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    names = ["n", "token", "uid", "set", "spans", "items", "score", "held_out", "n_kept", "component_id", "__text", "label"]
+    wide = docs.withColumns({c: F.lit(c) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, corpus)
+        assert out.columns == wide.columns, name
+        assert {tuple(r) for r in out.select(*names).distinct().collect()} == {tuple(names)}, name
+
+
 def test_empty(spark, corpus, tmp_path):
     empty = spark.read.parquet(f"{corpus}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
