@@ -60,6 +60,8 @@ def open_dataset(path: str, strict: bool = False) -> Dataset | None:
 
 def read_cells(spark: SparkSession, path: str, variable: str, section: str | None = None, layout: str = "cells", max_elements: int = MAX_ELEMENTS) -> DataFrame:
     spark.dataSource.register(CdmSource)
+    # A reader that takes filters is refused without this setting, which is read when the plan runs.
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     r = spark.read.format("cdm").option("path", path).option("variable", variable).option("layout", layout).option("max_elements", str(max_elements))
     return (r.option("section", section) if section else r).load()
 
