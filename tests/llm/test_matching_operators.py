@@ -181,6 +181,53 @@ def test_unlike_lines_stay(spark):
     assert dedup_lines(frame(spark, rows)).where("n_kept = 0").count() == 0
 
 
+def word_groups(lines):
+    """The first line of each group of all pairs with edit similarity 0.8 over words."""
+    first = list(range(len(lines)))
+
+    def find(x):
+        while first[x] != x:
+            x = first[x]
+        return x
+
+    for a in range(len(lines)):
+        for b in range(a):
+            x, y = lines[a].split(), lines[b].split()
+            if levenshtein(x, y) <= 0.2 * max(len(x), len(y)):
+                x, y = find(a), find(b)
+                first[max(x, y)] = min(x, y)
+    return [find(k) for k in range(len(lines))]
+
+
+def test_every_near_line_is_found(spark):
+    """Lines of all lengths up to the limit of edits (changed, inserted, removed words) against all pairs, without SimHash."""
+    rng = random.Random(12)
+    lines = []
+    for n in (4, 5, 6, 8, 9, 10, 12, 14, 19, 20, 24, 50):
+        for _ in range(4):
+            base = [rng.choice(WORDS) for _ in range(n)]
+            lines.append(" ".join(base))
+            w = list(base)
+            for _ in range((n + 1) // 5):
+                at = rng.randrange(len(w))
+                w[at : at + rng.choice([0, 1, 1])] = [rng.choice(WORDS)] * rng.choice([0, 1, 1])
+            lines.append(" ".join(w))
+    passage = " ".join(rng.choice(WORDS) for _ in range(12))
+    lines += [f"{family(rng, 20, 0)} {passage} {family(rng, 20, 0)}" for _ in range(150)]
+    want = word_groups(lines)
+    assert sum(k != g for k, g in enumerate(want)) > 35
+    got = {r["doc_id"]: r["n_kept"] for r in dedup_lines(frame(spark, list(enumerate(lines)))).collect()}
+    assert got == {k: int(g == k) for k, g in enumerate(want)}
+
+
+def test_long_words_do_not_hide_near_lines(spark):
+    """Lines that differ in one very long word, or by a word that is a fifth of their characters."""
+    rng = random.Random(13)
+    base = [rng.choice(WORDS) for _ in range(150)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:70], "http://" + "x" * 600, *base[71:]])), (3, "a b c d"), (4, "a b c d longer")]
+    assert {r["doc_id"]: r["n_kept"] for r in dedup_lines(frame(spark, rows)).collect()} == {1: 1, 2: 0, 3: 1, 4: 0}
+
+
 # decontamination
 
 def words_of(t):
