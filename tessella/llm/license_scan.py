@@ -7,11 +7,18 @@ b * t / (2 - t) <= a <= b * (2 - t) / t, so for each first line only last lines
 only runs with enough bigrams that occur in the template are compared in full. Of overlapping runs the best stays, by
 Dice, then fewer lines, then template order, then place.
 
+A statement or a whole text can share its lines with other words, so windows of the words outside those runs are compared
+in the same way. A window begins at the start of a line or sentence or at the template's first word and ends at the end of
+a line or sentence or at the template's last word; so other words before and after it do not count, but a changed first or
+last word does. Of overlapping windows the best stays, by Dice, then more words, then template order, then place; a match
+names the lines of its first and last word.
+
 Null, empty and word-less texts have no matches. Repeated rows get repeated results. Line numbers start at 0.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,6 +33,7 @@ from tessella.llm.text import ASCII_WORDS, words
 from tessella.runtime import ship, small_batches
 
 THRESHOLD = 0.8
+SENTENCE = re.compile(r"[.;:!?](?=\s)|\n")
 
 
 class Scanner:
@@ -38,6 +46,7 @@ class Scanner:
         self.known = np.array(sorted({b for c in self.bigrams for b in c}), np.int64)
         self.has = np.array([[b in c for b in self.known.tolist()] for c in self.bigrams])
         self.sizes = [sum(c.values()) for c in self.bigrams]
+        self.ends = [(self.word[ws[0]], self.word[ws[-1]]) for ws in lists]
 
     def codes(self, ids: np.ndarray) -> np.ndarray:
         """Code of each adjacent pair of words; -1 where a word is in no template."""
@@ -80,12 +89,45 @@ class Scanner:
                     dice = 2 * sum(min(n, self.bigrams[k][c]) for c, n in mine.items() if c in self.bigrams[k]) / (a + b)
                     if dice >= t:
                         found.append((-dice, last - int(i), k, int(i), name, last))
-        taken, out = np.zeros(len(per_line), bool), []
+        taken, out = np.zeros(len(ids), bool), []
         for dice, _, _, first, name, last in sorted(found):
-            if not taken[first : last + 1].any():
-                taken[first : last + 1] = True
-                out.append({"template": name, "dice": -dice, "first_line": first, "last_line": last})
-        return sorted(out, key=lambda m: m["first_line"])
+            if not taken[start[first] : end[last]].any():
+                taken[start[first] : end[last]] = True
+                out.append((int(start[first]), {"template": name, "dice": -dice, "first_line": first, "last_line": last}))
+        for dice, n, _, i, name in sorted(self.windows(text, ids, codes, at, real, taken)):
+            if not taken[i : i - n + 1].any():
+                taken[i : i - n + 1] = True
+                first, last = np.searchsorted(end, [i, i - n], "right").tolist()
+                out.append((i, {"template": name, "dice": -dice, "first_line": first, "last_line": last}))
+        return [m for _, m in sorted(out, key=lambda x: x[0])]
+
+    def windows(self, text: str, ids: np.ndarray, codes: np.ndarray, at: np.ndarray, real: np.ndarray, taken: np.ndarray) -> list[tuple]:
+        """(-dice, -bigrams, template's place, first word, template) of windows of words not taken."""
+        bound = np.zeros(len(ids) + 1, bool)
+        bound[np.cumsum([0, *(len(words(part, ASCII_WORDS)) for part in SENTENCE.split(text))])] = True
+        free = ~(taken[:-1] | taken[1:])
+        stop = np.r_[np.flatnonzero(~free), len(free)]
+        found = []
+        for k, name in enumerate(self.names):
+            hit = np.r_[0, np.cumsum(free & real & self.has[k][at])]
+            b, t, mine = self.sizes[k], self.threshold, self.bigrams[k]
+            # Dice >= t needs that many bigrams of the template, which is the least size of a window, too.
+            low, high = b * t / (2 - t) - 1e-9, int(b * (2 - t) / t + 1e-9)
+            if hit[-1] < low:
+                continue
+            first = np.flatnonzero(bound[:-2] | (ids[:-1] == self.ends[k][0]))
+            first = first[hit[np.minimum(first + high, len(codes))] - hit[first] >= low]
+            last = bound[2:] | (ids[1:] == self.ends[k][1])
+            for i in first.tolist():
+                left, same = dict(mine), 0
+                upto = min(i + high, int(stop[np.searchsorted(stop, i)]))
+                for n, (c, ok) in enumerate(zip(codes[i:upto].tolist(), last[i:upto].tolist(), strict=True), 1):
+                    if left.get(c):
+                        left[c] -= 1
+                        same += 1
+                    if ok and 2 * same >= t * (n + b) - 1e-9 and (dice := 2 * same / (n + b)) >= t:
+                        found.append((-dice, -n, k, i, name))
+        return found
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -160,6 +160,19 @@ def test_license_runs_against_all_runs():
             assert m["dice"] == pytest.approx(dice("\n".join(lines[m["first_line"] : m["last_line"] + 1]), TEMPLATES[m["template"]]))
 
 
+def test_licenses_within_lines():
+    """Statements and texts that share their lines with other words; two in one line; one over parts of two lines."""
+    scanner = Scanner(TEMPLATES, 0.8)
+    scan = lambda t: [(m["template"], m["dice"], m["first_line"], m["last_line"]) for m in scanner.scan(t)]
+    assert scan("(c) 2020 Foo Bar. Released under the MIT License. See file.") == [("statement:mit", 1.0, 0, 0)]
+    assert scan("x\nby us, released under the\nMIT License, all rights reserved, and so on") == [("statement:mit", 1.0, 1, 2), ("statement:all-rights-reserved", 1.0, 2, 2)]
+    minified = "var a = 1; " * 300
+    for name, text in TEMPLATES.items():
+        got = scan(f"{minified} {text} {minified}".replace("\n", " "))
+        assert (name, 1.0, 0, 0) in got, name
+    assert scan(minified) == [] and scan("the MIT people released all of the rights under a name") == []
+
+
 def test_license_edges(spark):
     rows = [(1, None), (2, ""), (3, "..."), (4, "x\nReleased under the MIT License.\ny"), (4, "x\nReleased under the MIT License.\ny"), (None, "All rights reserved.")]
     got = sorted((repr(r["doc_id"]), r["license"], r["dice"], len(r["matches"])) for r in scan_licenses(frame(spark, rows)).collect())
