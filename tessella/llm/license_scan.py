@@ -5,7 +5,7 @@ A run of consecutive lines (a single line, several, or the whole text) with a bi
 bigrams; counts matter, so Dice is 2 * sum(min(counts)) / (a + b). Size bounds: Dice >= t needs
 b * t / (2 - t) <= a <= b * (2 - t) / t, so for each first line only last lines in that range are candidates; of those,
 only runs with enough bigrams that occur in the template are compared in full. Of overlapping runs the best stays, by
-Dice, then fewer lines, then template order, then place.
+Dice, then the larger template, then fewer lines, then template order, then place.
 
 A statement or a whole text can share its lines with other words, so windows of the words outside those runs are compared
 in the same way. A window begins at the start of a line or sentence or at the template's first word and ends at the end of
@@ -88,9 +88,9 @@ class Scanner:
                     mine = Counter(codes[start[i] : end[last] - 1][real[start[i] : end[last] - 1]].tolist())
                     dice = 2 * sum(min(n, self.bigrams[k][c]) for c, n in mine.items() if c in self.bigrams[k]) / (a + b)
                     if dice >= t:
-                        found.append((-dice, last - int(i), k, int(i), name, last))
+                        found.append((-dice, -b, last - int(i), k, int(i), name, last))
         taken, out = np.zeros(len(ids), bool), []
-        for dice, _, _, first, name, last in sorted(found):
+        for dice, _, _, _, first, name, last in sorted(found):
             if not taken[start[first] : end[last]].any():
                 taken[start[first] : end[last]] = True
                 out.append((int(start[first]), {"template": name, "dice": -dice, "first_line": first, "last_line": last}))

@@ -166,13 +166,26 @@ def test_licenses_within_lines():
     scan = lambda t: [(m["template"], m["dice"], m["first_line"], m["last_line"]) for m in scanner.scan(t)]
     assert scan("(c) 2020 Foo Bar. Released under the MIT License. See file.") == [("statement:mit", 1.0, 0, 0)]
     assert scan("x\nby us, released under the\nMIT License, all rights reserved, and so on") == [("statement:mit", 1.0, 1, 2), ("statement:all-rights-reserved", 1.0, 2, 2)]
-    minified = "var a = 1; " * 300
+    minified = "var a = 1; " * 3000
     for name, text in TEMPLATES.items():
         got = scan(f"{minified} {text} {minified}".replace("\n", " "))
         assert (name, 1.0, 0, 0) in got, name
     assert scan(minified) == [] and scan("the MIT people released all of the rights under a name") == []
 
 
+def test_the_right_license_is_named():
+    """Each template's own text is named by it, licences with like texts included."""
+    scanner = Scanner(TEMPLATES, 0.8)
+    for name, text in TEMPLATES.items():
+        assert max(scanner.scan(f"x y z\n{text}\nx y z"), key=lambda m: m["dice"])["template"] == name
+    for line, name in (("Licensed under CC BY 4.0.", "cc-by-4.0"), ("Licensed under CC BY-ND 4.0.", "cc-by-nd-4.0"), ("Licensed under the Mozilla Public License, Version 2.0.", "mpl-2.0")):
+        assert scanner.scan(line)[0]["template"].split(":")[:2] == ["statement", name]
+    kinds = {n.split(":")[1] for n in TEMPLATES}
+    assert kinds >= {"bsd-3-clause", "gpl-2.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "mpl-2.0", "cc0-1.0", "unlicense", "cc-by-nd-4.0"}
+    texts = {n for n in TEMPLATES if n.startswith("text:")}
+    assert texts >= {"text:gpl-2.0", "text:gpl-3.0", "text:lgpl-2.1", "text:mpl-2.0", "text:cc0-1.0", "text:bsd-3-clause"}
+
+
 def test_license_edges(spark):
     rows = [(1, None), (2, ""), (3, "..."), (4, "x\nReleased under the MIT License.\ny"), (4, "x\nReleased under the MIT License.\ny"), (None, "All rights reserved.")]
     got = sorted((repr(r["doc_id"]), r["license"], r["dice"], len(r["matches"])) for r in scan_licenses(frame(spark, rows)).collect())
