@@ -5,7 +5,8 @@ the last return the columns of documents. A document goes only when
 
 1. language: its text is null or has no letter (`und`), so that no language can be given to it;
 2. lines: every line of it is a copy or near copy of a line kept elsewhere; otherwise it goes on with the lines it keeps;
-3. near_duplicates: it is not the first (least doc_id) of its component of five-word shingle sets with Jaccard >= 0.8;
+3. near_duplicates: it is not the first (least doc_id) of its component of five-word shingle sets with Jaccard >= 0.8, or
+   it repeats a row's doc_id and text;
 4. decontaminate: ten consecutive words of a benchmark item, or a whole shorter item, occur in it.
 
 Rows without a doc_id are kept by 2 and 3.
@@ -48,7 +49,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows, names = hide(docs)
     key = names["doc_id"]
     found = jaccard_components(rows, text=names["text"], doc_id=key, extra=tuple(c for c in rows.columns if c != key))
-    return show(found.where(F.col(key).isNull() | (F.col(key) == F.col("component_id"))), names)
+    first = found.where(F.col(key).isNull() | (F.col(key) == F.col("component_id")))
+    # Repeated rows are copies, too: of rows with one id and one text a single one stays.
+    again = materialize(first.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).where(F.col(key).isNotNull() & (F.col("__rows") > 1)).select(F.col(key).alias("__again")), "again")
+    repeated = F.col(key) == F.col("__again")
+    once = first.join(again, repeated, "left_anti").unionByName(first.join(again, repeated, "left_semi").dropDuplicates([key, names["text"]]))
+    return show(once, names)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

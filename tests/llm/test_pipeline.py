@@ -60,6 +60,14 @@ def test_near_duplicates_alone(spark, corpus):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, corpus).collect()} == {3, 9}
 
 
+def test_repeated_rows(spark, corpus):
+    """Of rows with the same id and text one stays; another text under the id stays, too."""
+    rows = [(1, "a text that is here twice", "en", "s", 1), (1, "a text that is here twice", "en", "t", 1), (1, "quite another one of words", "en", "s", 1), (2, "x y z", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, corpus).collect())
+    assert got == sorted({(r[0], r[1]) for r in rows})
+
+
 def test_clashing_columns(spark, corpus):
     """Extra columns with names that operators use inside or return."""
     from pyspark.sql import functions as F
