@@ -46,4 +46,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             break
     else:
         raise RuntimeError("components did not settle")
-    return e.select(_both(("u", "v"), ("v", "v"), ("node", "component"))).distinct()
+    out = e.select(_both(("u", "v"), ("v", "v"), ("node", "component"))).distinct()
+    out._tessella_path = e._tessella_path
+    return out
