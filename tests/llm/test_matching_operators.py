@@ -367,3 +367,44 @@ def test_decontamination_query_equals_sql(spark, sf):
         assert sorted(df.columns) == cols
         assert sorted(repr(tuple(r[x] for x in cols)) for r in df.collect()) == sorted(repr(tuple(r[rel.columns.index(x)] for x in cols)) for r in rel.fetchall())
     assert xxhash.VERSION
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows with one id and different texts are documents of their own; repeated rows are treated alike; inner names may clash."""
+    rows = [(1, "a first unique line\nshared line of words"), (2, "shared line of words\nsecond unique line"), (2, "another text\nprecious unique line"), (3, "kept once\nkept once"), (3, "kept once\nkept once")]
+    df = frame(spark, rows).withColumns({c: F.lit(1) for c in ("__lines", "__k0", "__k", "doc", "row", "lines", "norm", "uid")})
+    got = sorted((r["doc_id"], r["text"]) for r in dedup_lines(df).collect())
+    assert got == [(1, rows[0][1]), (2, "another text\nprecious unique line"), (2, "second unique line"), (3, "kept once"), (3, "kept once")]
+
+
+@pytest.mark.parametrize("hot_rows", [1, 100_000])
+def test_recall_of_edited_lines(spark, hot_rows):
+    """One changed word or one changed letter, at every length from 5 words, among lines that share a long passage; nothing may be lost."""
+    rng = random.Random(14)
+    letters = lambda: "".join(rng.choice("abcdefghiklmnoprstuw") for _ in range(rng.randint(2, 9)))
+    passage = " ".join(letters() for _ in range(12))
+    rows, twins = [], 0
+    for n in (5, 6, 8, 12, 20, 33, 40, 64, 80, 150):
+        for k in range(12):
+            words = [letters() for _ in range(n)]
+            rows.append((len(rows), " ".join(words)))
+            at = rng.randrange(n)
+            words[at] = letters() if k % 2 else words[at][:-1] + "zq"
+            rows.append((len(rows), " ".join(words)))
+            twins += 1
+    many = [f"{' '.join(letters() for _ in range(20))} {passage} {' '.join(letters() for _ in range(20))}" for _ in range(120)]
+    logs = [f"job {k} on host {letters()} ended with state ok after {k * 7} seconds and {k % 5} retries in the queue of batch work" for k in range(150)]
+    rows += [(len(rows) + k, t) for k, t in enumerate(many + logs)]
+    kept = {r["doc_id"]: r["n_kept"] for r in dedup_lines(frame(spark, rows), hot_rows=hot_rows).collect()}
+    assert sum(kept[2 * k] == 1 and kept[2 * k + 1] == 0 for k in range(twins)) == twins
+    assert all(kept[2 * twins + k] == 1 for k in range(len(many)))
+    first = word_groups(logs)
+    assert [kept[2 * twins + len(many) + k] for k in range(len(logs))] == [int(g == k) for k, g in enumerate(first)]
+
+
+def test_very_long_lines(spark):
+    """Near lines of more than 32,766 words."""
+    rng = random.Random(15)
+    base = [f"x{rng.randrange(50_000)}" for _ in range(33_000)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base[:500], "changed", *base[501:]])), (2, " ".join(reversed(base)))]
+    assert [r["n_kept"] for r in dedup_lines(frame(spark, rows)).orderBy("doc_id").collect()] == [1, 0, 1]
