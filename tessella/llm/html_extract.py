@@ -3,9 +3,13 @@
 A page is one stream of tokens, words and tags, each with a score: words in running text score positive, words in
 links and most tags negative. The scores are smoothed log odds of a token's class inside and outside the article of
 the labelled pages. A linear scan finds the contiguous region with the largest total, the earliest and shortest of
-equals. Words of parts that can never be article text - scripts, menus, page headers and footers, sidebars, forms,
+equals. The region is then completed: article and main elements that it meets are taken whole; in a page without them,
+text elements (paragraphs, headings, lists, tables) that stand beside it in its own parent, lists of links apart.
+
+Words of parts that can never be article text - scripts, menus, page headers and footers, sidebars, forms, hidden parts,
 and elements whose class, id or role names an advert, notice, menu, share bar or reader comments - score nothing and
-are left out of the region's text.
+are left out of the region's text. A name counts only if no word of it speaks against it ("related-posts", not
+"related-work"), never on headings and paragraphs, and not on an element that holds the article or the title.
 
 The region's text is cut into blocks at block tags. Character references are decoded, white space inside a block
 becomes one space, blocks are trimmed, and those not empty are joined by two line feeds. Null or empty pages, and
@@ -38,99 +42,142 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("nav aside footer form menu dialog button select option label fieldset head".split())
 ENDS_P = BLOCK - {"body", "html"}
-# Words of class names and ids that name a part of a page which is no article text.
-HINTS = re.compile(
-    r"(?:^|[-_])(?:ads?|ad(?:box|slot|unit|banner)s?|advert\w*|adsense|banners?|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notices?|alerts?|popup\w*|modal|overlay|nav|navbar\w*|navigation"
-    r"|menu\w*|breadcrumbs?|sidebar\w*|widgets?|related\w*|recommended|recommendations|share|sharing|sharebar|social\w*|comment\w*|disqus|respond|replies|footer\w*|masthead|toolbar|topbar"
-    r"|pagination|pager|newsletter\w*|subscri\w*|signup|login|search|skip)(?:$|[-_\d])",
+# Words of class names and ids that name a part of a page which is no article text, and words that may stand beside them in such a name.
+HINT = re.compile(
+    r"(?:ads?|ad(?:box|slot|unit|banner)s?|advert\w*|adsense|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup\w*|modal|overlay|nav|navbar\w*|navigation"
+    r"|menus?|menubar|breadcrumbs?|sidebars?|widgets?|related|recommended|recommendations|share|sharing|sharebar|social|disqus\w*|respond|replies|footers?|masthead|toolbar|topbar"
+    r"|pagination|pager|newsletters?|subscri\w*|signup|login|search|skip)(?:bar|box|list|banner|block|wrap)?\d*",
     re.I,
 )
+BESIDE = frozenset(
+    "posts post articles article stories story links link items item list lists box boxes bar bars area block blocks container wrapper wrap inner outer section sections panel unit slot row col column columns"
+    " top bottom left right site page global main primary secondary header head title button buttons icon icons form forms input media policy message msg thread to and the by of us me up in".split()
+)
+COMMENTS = re.compile(r"(?:^|[-_])comments?(?:$|[-_\d]|list|form|area|body)", re.I)
 WHOLE = frozenset("side header site-header global-header top-header top-bar bottom copyright disclaimer".split())
 STATES = ("has-", "with-", "no-", "is-", "without-")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 LINK, HEADING, LIST = "word:link", "word:heading", "word:list"
 
 
-def excluded(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element can never hold article text."""
-    if tag in NEVER or tag == "header" and not in_article:
+NAMED = frozenset("article aside blockquote div dl figure form header li main ol section span table td tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that complete a region as its neighbours.
+CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure".split())
+
+
+def named(name: str) -> bool:
+    """Whether a class name or id names a part without article text: one word says so and no other word speaks against it."""
+    if COMMENTS.search(name):
         return True
-    if "=" not in attributes or tag in ("html", "body"):
-        return False
-    a = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)}
-    names = [t for k in ("class", "id") for t in a.get(k, "").lower().split() if not t.startswith(STATES)]
-    whole = WHOLE - {"header"} if in_article else WHOLE
-    return a.get("role", "").lower() in ROLES or a.get("aria-hidden") == "true" or any(t in whole or HINTS.search(t) for t in names)
+    words = [w for w in re.split("[-_]+", name) if w and not w.isdigit()]
+    return any(HINT.fullmatch(w) for w in words) and all(HINT.fullmatch(w) or w in BESIDE for w in words)
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(class, text, break before) of each run of text and tag. Text comes decoded; tags and excluded text come empty."""
-    stack: list[tuple[str, bool, bool]] = []
-    off = articles = links = headings = lists = 0
+class Element:
+    """An open or closed element: what its tag and attributes say, and its place in the stream."""
+
+    __slots__ = ("article", "first", "holds", "last", "never", "off", "parent", "tag")
+
+    def __init__(self, tag: str, attributes: str, parent: Element | None, first: int):
+        self.tag, self.parent, self.first, self.last = tag, parent, first, -1
+        self.never, self.article, self.holds, self.off = tag in NEVER or tag == "header", tag in ("article", "main"), "", False
+        if tag in ("html", "body"):
+            return
+        flags = re.split(r"[\s=]+", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes.lower())) if "hidden" in attributes.lower() else ()
+        a = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
+        role = a.get("role", "").lower()
+        names = [t for k in ("class", "id") for t in a.get(k, "").lower().split() if not t.startswith(STATES)] if tag in NAMED else ()
+        hinted = any(t in WHOLE or named(t) for t in names)
+        self.article = self.article and not hinted or role in ("main", "article")
+        self.never = self.never or role in ROLES or a.get("aria-hidden") == "true" or "hidden" in flags
+        self.holds = "named" if hinted and role != "main" else ""
+
+    def settle(self) -> None:
+        """Decide whether text in here is left out, once all that it holds is known and its parent is settled."""
+        inside = self.parent is not None and self.parent.article
+        barred = self.never and not (self.tag == "header" and inside) and self.holds not in ("article",)
+        self.off = self.parent is not None and self.parent.off or barred or self.holds == "named"
+        self.article = (self.article or inside) and not self.off
+
+
+def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[Element]]:
+    """The stream of (class, text, break before) of runs of text and tags, and the elements. Text comes decoded; tags and excluded text come empty."""
+    stream: list[tuple[str, str, bool, Element | None]] = []
+    elements: list[Element] = []
+    stack: list[Element] = []
+    open_: Counter = Counter()
     at, n = 0, len(page)
 
-    def text(raw: str) -> tuple[str, str, bool]:
-        if off:
-            return "off", "", False
-        kind = LINK if links else HEADING if headings else LIST if lists else "word:text"
-        return kind, entities.unescape(raw), False
+    def text(raw: str) -> None:
+        links, headings = open_["a"], any(open_[h] for h in HEADINGS)
+        kind = LINK if links else HEADING if headings else LIST if open_["li"] else "word:text"
+        stream.append((kind, raw, False, stack[-1] if stack else None))
 
     def pop() -> str:
-        nonlocal off, articles, links, headings, lists
-        tag, out, article = stack.pop()
-        off -= out
-        articles -= article
-        links -= tag == "a"
-        headings -= tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        lists -= tag == "li"
-        return tag
+        e = stack.pop()
+        e.last = len(stream)
+        open_[e.tag] -= 1
+        return e.tag
+
+    def close(tag: str) -> None:
+        if open_[tag]:
+            while pop() != tag:
+                pass
 
     for m in TOKEN.finditer(page):
         if m.start() < at:
             continue
         if m.start() > at:
-            yield text(page[at : m.start()])
+            text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                yield text(m[0][9:].removesuffix("]]>"))
+                text(m[0][9:].removesuffix("]]>"))
             continue
         tag, breaks = m[2].lower(), m[2].lower() in BLOCK
         if m[1]:
-            open_ = [t for t, *_ in stack]
-            if tag in open_:
-                while pop() != tag:
-                    pass
-            yield f"/{tag}", "", breaks
+            close(tag)
+            stream.append((f"/{tag}", "", breaks, None))
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else n
-            yield tag, "", tag in BLOCK
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = end.end() if end else n
+            stream.append((tag, "", tag in BLOCK, None))
             continue
-        if tag in ENDS_P and any(t == "p" for t, *_ in stack[-4:]):
-            while pop() != "p":
-                pass
-        if tag == "li":
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("li", "ul", "ol", "menu")), None)
-            if depth is not None and stack[depth][0] == "li":
+        if tag in ENDS_P and any(e.tag == "p" for e in stack[-4:]):
+            close("p")
+        if tag == "li" and (open_["li"] or open_["ul"] or open_["ol"] or open_["menu"]):
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag in ("li", "ul", "ol", "menu")), None)
+            if depth is not None and stack[depth].tag == "li":
                 while len(stack) > depth:
                     pop()
-        yield tag, "", breaks
+        stream.append((tag, "", breaks, None))
         if tag in VOID:
             if tag == "br":
-                yield "off", " ", False
+                stream.append(("off", " ", False, stack[-1] if stack else None))
             continue
-        out = excluded(tag, m[3] or "", articles > 0)
-        article = tag in ("article", "main") and not out
-        stack.append((tag, out, article))
-        off += out
-        articles += article
-        links += tag == "a"
-        headings += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        lists += tag == "li"
+        e = Element(tag, m[3] or "", stack[-1] if stack else None, len(stream) - 1)
+        elements.append(e)
+        stack.append(e)
+        open_[tag] += 1
+        # An element that holds the article is not left out for its name, nor for its tag.
+        if e.article or tag == "h1":
+            mark, up = ("article" if e.article else "h1"), e.parent
+            while up is not None and up.holds != "article" and up.holds != mark and not (mark == "h1" and up.never):
+                up.holds, up = mark, up.parent
     if at < n:
-        yield text(page[at:])
+        text(page[at:])
+    while stack:
+        pop()
+    for e in elements:
+        e.settle()
+    out = [("off", " " if kind == "off" and not e.off else "", b) if e is not None and (e.off or kind == "off") else (kind, entities.unescape(t) if e is not None or kind.startswith("word:") else t, b) for kind, t, b, e in stream]
+    return out, elements
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
+    yield from parse(page)[0]
 
 
 def learn(pages: list[list[tuple[str, int]]]) -> dict[str, float]:
@@ -156,6 +203,31 @@ def learn(pages: list[list[tuple[str, int]]]) -> dict[str, float]:
     return {k: max(-4.0, min(4.0, v)) for k, v in odds.items()}
 
 
+def complete(span: tuple[int, int], stream: list[tuple[str, str, bool]], elements: list[Element]) -> tuple[int, int]:
+    """The region with the articles it meets made whole; without any, with the text elements that stand beside it in its own parent."""
+    start, end = span
+    roots = [e for e in elements if e.article and not e.off and (e.parent is None or not e.parent.article)]
+    met = [e for e in roots if e.first < end and e.last > start]
+    if met:
+        return min(start, *(e.first for e in met)), max(end, *(e.last for e in met))
+    around = [e for e in elements if e.first <= start and e.last >= end and e.tag not in CONTENT]
+    parent = around[-1] if around else None
+    beside = [e for e in elements if e.tag in CONTENT and not e.off and (e.parent is parent or parent is None and e.parent is None)]
+    links = lambda e: not any(k.startswith("word:") and k != LINK and t.strip() for k, t, _ in stream[e.first : e.last])
+    blank = lambda a, b: not any(t.strip() or k in BLOCK for k, t, _ in stream[a:b])
+    for e in beside:
+        if end <= e.first and blank(end, e.first) and not links(e):
+            end = e.last + 1
+        elif e.first < end < e.last:
+            end = e.last
+    for e in reversed(beside):
+        if e.last <= start and blank(e.last + 1, start) and not links(e):
+            start = e.first
+        elif e.first < start < e.last:
+            start = e.first
+    return start, end
+
+
 class Extractor:
     def __init__(self, pages: list[list[tuple[str, int]]] = PAGES):
         self.weights = learn(pages)
@@ -172,7 +244,7 @@ class Extractor:
     def extract(self, page: str | None) -> str:
         if not page:
             return ""
-        stream = list(tokens(page))
+        stream, elements = parse(page)
         best, total, start, span = 0.0, 0.0, 0, (0, 0)
         for k, (kind, text, _) in enumerate(stream):
             if total <= 0:
@@ -180,6 +252,8 @@ class Extractor:
             total += self.score(kind, text)
             if total > best + 1e-12:
                 best, span = total, (start, k + 1)
+        if best > 0:
+            span = complete(span, stream, elements)
         blocks, held = [], []
         for _, text, breaks in [*stream[span[0] : span[1]], ("", "", True)]:
             if breaks:

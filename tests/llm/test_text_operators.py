@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -228,3 +229,41 @@ def test_page_names():
         assert x.extract(f"<div class='{wrap}'>{body}</div>") == want, wrap
     for part in ("class=commentlist", "id=disqus_thread", "class='x ad-slot'", "class=side", "class=site-header", "role=banner", "class=adbox2", "class=cookiebar", "id=related-posts"):
         assert x.extract(f"<div>{body}</div><div {part}><p>Other words that are not the article but stand beside it.</p></div>") == want, part
+
+
+WANTED = "some plain words of the running article text stand here, " * 8
+PARAGRAPHS = f"<p>{WANTED}</p><p>{WANTED}</p>"
+
+
+@pytest.mark.parametrize(
+    ("body", "kept", "gone"),
+    [
+        (f"<article><h1>T</h1>{PARAGRAPHS}<h2 id='related-work'>Relwork</h2>{PARAGRAPHS}</article>", ["Relwork"], []),
+        (f"<article><h1>T</h1>{PARAGRAPHS}<section id='ad-hoc-networks'><h2>Sec</h2><p>Deep {WANTED}</p></section></article>", ["Sec", "Deep"], []),
+        (f"<article><h1>T</h1>{PARAGRAPHS}<section id='search-algorithms'><p>Deep {WANTED}</p></section></article>", ["Deep"], []),
+        (f"<div class='post social-science'><h1>T</h1>{PARAGRAPHS}</div>", ["T", "running"], []),
+        (f"<div class='widget-body'><h1>T</h1>{PARAGRAPHS}</div>", ["T", "running"], []),
+        (f"<div role=main class='search-results-free'><h1>T</h1>{PARAGRAPHS}</div>", ["T", "running"], []),
+        (f"<article><h1>T</h1>{PARAGRAPHS}<p class='notice-text'>Noted</p></article>", ["Noted"], []),
+        (f"<article><h1>Title</h1><ul><li>Pone</li><li>Ptwo</li></ul>{PARAGRAPHS}</article>", ["Title", "Pone", "Ptwo"], []),
+        (f"<div id=c><h1>Title</h1><ul><li>Pone</li></ul>{PARAGRAPHS}<table><tr><td>Cell</td></tr></table><p>Final words.</p></div>", ["Title", "Pone", "Cell", "Final words."], []),
+        (f"<article><h1>T</h1>{PARAGRAPHS}<h2>References</h2><ul><li><a href=/r>Refone</a></li></ul></article>", ["References", "Refone"], []),
+        (f"<article><h1>T</h1>{PARAGRAPHS}<div hidden>Secret</div><p>End</p></article>", ["End"], ["Secret"]),
+        (f"<main><article><h1>T</h1>{PARAGRAPHS}</article><section class=comments><ol><li><article class='comment-body'><p>Bad {WANTED}</p></article></li></ol></section></main>", ["T"], ["Bad"]),
+        (f"<article><h1>T</h1>{PARAGRAPHS}<div class='share-buttons'><a href=x>Tweet</a></div><aside>Side</aside><div class='related-posts'>Relp</div></article>", ["T"], ["Tweet", "Side", "Relp"]),
+        (f"<div class='sidebar'><p>Sideb {WANTED}</p></div><div class=content><h1>T</h1>{PARAGRAPHS}</div>", ["T"], ["Sideb"]),
+        (f"<form id=aspnetForm><div><article><h1>T</h1>{PARAGRAPHS}</article></div></form>", ["T"], []),
+    ],
+)
+def test_html_layouts(body, kept, gone):
+    page = f"<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/b>Blog</a></li></ul></nav>{body}<footer><p>Copyright</p></footer></body></html>"
+    text = Extractor().extract(page)
+    assert all(w in text for w in kept) and not any(w in text for w in [*gone, "Home", "Copyright"])
+
+
+def test_html_stray_tags_take_linear_time():
+    x = Extractor()
+    began = time.process_time()
+    assert "running" in x.extract("<div>" * 50 + "</b>" * 100_000 + PARAGRAPHS)
+    x.extract("<div><i>" * 20_000 + "</b>" * 20_000 + PARAGRAPHS)
+    assert time.process_time() - began < 10
