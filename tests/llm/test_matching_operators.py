@@ -15,7 +15,7 @@ from tessella.llm.decontaminate import contamination, digest
 from tessella.llm.fingerprints import compare_edits, likeness, with_fingerprint
 from tessella.llm.jaccard import jaccard_components
 from tessella.llm.line_dedup import DISTANCE, dedup_lines, simhashes
-from tessella.llm.sharding import CommitConflict, ShardStore
+from tessella.llm.sharding import CommitConflict, SchemaConflict, Shard, ShardStore, shard_members
 
 WORDS = [f"w{k}" for k in range(400)]
 
@@ -408,3 +408,45 @@ def test_very_long_lines(spark):
     base = [f"x{rng.randrange(50_000)}" for _ in range(33_000)]
     rows = [(0, " ".join(base)), (1, " ".join([*base[:500], "changed", *base[501:]])), (2, " ".join(reversed(base)))]
     assert [r["n_kept"] for r in dedup_lines(frame(spark, rows)).orderBy("doc_id").collect()] == [1, 0, 1]
+
+
+def test_shard_writers_at_once(spark, tmp_path):
+    """Of writers of one version exactly one succeeds; appends at once all arrive; vacuum leaves what is not committed yet."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(frame(spark, [(0, "first")]))
+
+    def commit(k):
+        try:
+            return store.commit(base, [*base["shards"], Shard(f"data/x{k}", 1)], base["schema"])["version"]
+        except CommitConflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        for _ in range(10):
+            base = store.manifest()
+            assert sum(v is not None for v in pool.map(commit, range(8))) == 1
+    store = ShardStore(spark, f"file://{tmp_path}/t")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: store.append(frame(spark, [(k, f"text {k}")])), range(8)))
+    assert store.manifest()["version"] == 8 and sorted(r[0] for r in store.read().collect()) == list(range(8))
+    base = store.manifest()
+    pending = store._write(frame(spark, [(100, "pending")]))
+    store.vacuum()
+    store.commit(base, base["shards"] + pending, base["schema"])
+    assert store.read().count() == 9
+    left = store._write(frame(spark, [(101, "left over")]))
+    store.vacuum(orphans_s=-60)
+    assert not (tmp_path / "t" / left[0].path).exists() and store.read().count() == 9
+
+
+def test_shard_schemas(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(frame(spark, [(1, "a")]))
+    store.append(spark.createDataFrame([(2, "b", 5)], "doc_id long, text string, n int"))
+    assert sorted(map(tuple, store.read().collect())) == [(1, "a", None), (2, "b", 5)]
+    with pytest.raises(SchemaConflict):
+        store.append(spark.createDataFrame([("x", "b")], "doc_id string, text string"))
+    got = shard_members(store).orderBy("doc_id").collect()
+    assert {r["version"] for r in got} == {2} and len({r["shard"] for r in got}) == 2 and all(r["shard"].endswith(".parquet") for r in got)
