@@ -3,14 +3,16 @@
 Texts are cut at spaces the pre-tokenizer never looks across, so each distinct chunk is counted once per worker and
 remembered. Chunks not seen yet are pre-tokenized; all their distinct pre-tokens lie in one flat symbol array with a
 sequence number per symbol. A round finds each sequence's lowest-rank adjacent pair and applies it at once in every
-sequence; sequences without a pair are done, and the symbols that survive are the tokens.
+sequence; sequences without a pair are done, and the symbols that survive are the tokens. A pre-token of more than
+`LONG` bytes is worked through alone, rank by rank, so that its time grows with its length, not with the square of it.
 
 Null text counts as empty (0 bytes, 0 tokens). Special strings inside texts become one token each, as the library
-does by default. Texts of any length are worked through in bounded segments. Repeated rows give repeated results.
+does by default. Texts of any length are worked through in segments, cut at single spaces. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterable, Iterator
 
@@ -32,6 +34,7 @@ PATTERN = (
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 CACHE_ENTRIES = 400_000
+LONG = 1_000
 BATCH_CHARS = 1 << 21
 _loaded: dict[str, "Counter"] = {}
 
@@ -73,8 +76,70 @@ class Merger:
             out[:-1][ok] = self.rank[at[ok]]
         return out
 
+    def of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], self.none)
+
+    def long_count(self, pretoken: bytes) -> int:
+        """Tokens in one long pre-token: its pairs wait by rank, and a round applies the lowest rank at all its places.
+
+        A merge only makes pairs of higher rank, as every symbol is made by one merge, so each rank comes once."""
+        n = len(pretoken)
+        sym = self.byte_id[np.frombuffer(pretoken, np.uint8)]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n, self.none, np.int64)
+        rank[:-1] = self.of_pairs(sym[:-1], sym[1:])
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[rank[at] < self.none]
+            at = at[np.argsort(rank[at], kind="stable")]
+            r = rank[at]
+            cut = np.flatnonzero(r[1:] != r[:-1]) + 1
+            for part in np.split(at, cut) if len(at) else ():
+                k = int(rank[part[0]])
+                if k not in waiting:
+                    waiting[k] = []
+                    heapq.heappush(heap, k)
+                waiting[k].append(part)
+
+        wait(np.arange(n))
+        left = n
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            # Of overlapping pairs (a run of one symbol) every second one merges, from the left.
+            head = np.r_[True, after[at[:-1]] != at[1:]]
+            place = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+            at = at[place % 2 == 0]
+            gone = after[at]
+            then = after[gone]
+            sym[at], after[at], rank[gone] = self.made[r], then, self.none
+            inside = then < n
+            before[then[inside]] = at[inside]
+            left -= len(at)
+            touched = np.unique(np.r_[at, before[at][before[at] >= 0]])
+            has = after[touched] < n
+            rank[touched] = self.none
+            touched = touched[has]
+            rank[touched] = self.of_pairs(sym[touched], sym[after[touched]])
+            wait(touched)
+        return left
+
     def counts(self, pretokens: list[bytes]) -> np.ndarray:
         """Tokens in each pre-token."""
+        long = [k for k, p in enumerate(pretokens) if len(p) > LONG]
+        if long:
+            out = np.zeros(len(pretokens), np.int64)
+            out[long] = [self.long_count(pretokens[k]) for k in long]
+            short = [k for k, p in enumerate(pretokens) if len(p) <= LONG]
+            out[short] = self.counts([pretokens[k] for k in short])
+            return out
         sizes = np.fromiter(map(len, pretokens), np.int64, len(pretokens))
         total = sizes.copy()
         sym = self.byte_id[np.frombuffer(b"".join(pretokens), np.uint8)]

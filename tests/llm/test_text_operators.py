@@ -267,3 +267,20 @@ def test_html_stray_tags_take_linear_time():
     assert "running" in x.extract("<div>" * 50 + "</b>" * 100_000 + PARAGRAPHS)
     x.extract("<div><i>" * 20_000 + "</b>" * 20_000 + PARAGRAPHS)
     assert time.process_time() - began < 10
+
+
+def test_long_pretokens():
+    """Pre-tokens of many kinds against the library, one of them long, in time that does not explode."""
+    from tessella.llm.token_counts import Counter
+
+    rng = random.Random(3)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, mine = Tokenizer.from_file(path), Counter(path)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "eta", "a", "äöüß", "日本語の文", "0123456789", "!?.-", "=", "aábc"]
+    texts = ["".join(rng.choice(k) for _ in range(n)) for k in kinds for n in (990, 1001, 5000, 20_000)]
+    texts += [" ".join(t[:1500] for t in texts[k : k + 3]) for k in range(0, 30, 3)]
+    assert mine.count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    long = "".join(rng.choice(kinds[0]) for _ in range(1_000_000))
+    began = time.process_time()
+    n = mine.count([long])[0]
+    assert time.process_time() - began < 20 and n == len(library.encode(long, add_special_tokens=False).ids)
