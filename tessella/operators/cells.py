@@ -42,17 +42,19 @@ def flip2d(cells: DataFrame, shape: list[int]) -> DataFrame:
     return out.withColumn("elem", element([shape[1], shape[0]]))
 
 
-def compare(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """a's and b's values side by side; a cell that only one has is null in the other."""
-    return a.withColumnRenamed("value", "a").join(b.withColumnRenamed("value", "b"), keys, "full")
+def compare(a: DataFrame, b: DataFrame, keys: list[str], how: str = "full") -> DataFrame:
+    """a's and b's values side by side; a cell that only one has is null in the other, or left out by an inner join."""
+    return a.withColumnRenamed("value", "a").join(b.withColumnRenamed("value", "b"), keys, how)
 
 
-def count_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    return compare(a, b, keys).agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_diff"))
+def count_diff(a: DataFrame, b: DataFrame, keys: list[str], by: tuple[str, ...] = (), how: str = "full") -> DataFrame:
+    """n_diff: cells that differ, in all or for each `by`."""
+    return compare(a, b, keys, how).groupBy(*by).agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_diff"))
 
 
-def arrays_equal(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    return compare(a, b, keys).agg(F.coalesce(F.bool_and(F.col("a").eqNullSafe(F.col("b"))), F.lit(True)).alias("equal"))
+def arrays_equal(a: DataFrame, b: DataFrame, keys: list[str], by: tuple[str, ...] = (), how: str = "full") -> DataFrame:
+    """equal: whether no cell differs, in all or for each `by`."""
+    return compare(a, b, keys, how).groupBy(*by).agg(F.coalesce(F.bool_and(F.col("a").eqNullSafe(F.col("b"))), F.lit(True)).alias("equal"))
 
 
 def near_equal(a: Column, b: Column, eps: float = 1e-8) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions import convert as V
+from tessella.operators.tree import breadth_first
 from tessella.plans.registry import query
 from tessella.runtime import table
 
@@ -124,15 +125,7 @@ def meta_tree(spark, d):
     """Hard links to a tree: breadth first from the root, links back to nodes already placed are dropped."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
     links = n.where("node > 0").select(F.floor((F.col("node") - 1) / 2).alias("parent"), "node").union(n.select("node", F.lit(0).cast("long")))
-    placed = n.where("node = 0").select("node", F.lit(0).cast("long").alias("depth"))
-    front, depth = placed, 0
-    while depth < 8:
-        depth += 1
-        front = links.join(front.select(F.col("node").alias("parent")), "parent").select("node").distinct().join(placed, "node", "left_anti").select("node", F.lit(depth).cast("long").alias("depth"))
-        placed = placed.union(front)
-        if 2 ** (depth + 1) > 26:
-            break
-    return placed
+    return breadth_first(links, n.where("node = 0"))
 
 
 @query("SELECT doc_id AS att, length(text) > 4000 AS promoted FROM documents")

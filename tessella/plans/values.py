@@ -20,9 +20,9 @@ def agg_sum_finite(spark, d):
 
 @query("SELECT event_type, user_id % 5 AS stat, count(*) AS calls, CAST(sum(event_id % 1000) AS BIGINT) AS ns, round(CAST(sum(event_id % 1000) AS DOUBLE) / count(*), 6) AS per_call FROM events GROUP BY ROLLUP (event_type, user_id % 5)")
 def stat_rollup(spark, d):
-    """Timing statistics by (stats, stat) with total rows."""
+    """Timing statistics by (stats, stat) with total rows, the longest time first."""
     e = table(spark, d, "events").withColumn("stat", F.col("user_id") % 5).withColumn("t", F.col("event_id") % 1000)
-    return e.rollup("event_type", "stat").agg(F.count(F.lit(1)).alias("calls"), F.sum("t").alias("ns"), F.round(F.sum("t") / F.count(F.lit(1)), 6).alias("per_call"))
+    return e.rollup("event_type", "stat").agg(F.count(F.lit(1)).alias("calls"), F.sum("t").alias("ns"), F.round(F.sum("t") / F.count(F.lit(1)), 6).alias("per_call")).orderBy(F.col("ns").desc(), "event_type", "stat")
 
 
 @query("SELECT source || ':' || lang AS type, count(*) AS n FROM documents GROUP BY 1")
@@ -39,19 +39,19 @@ PAIRS = f"(SELECT a.d0, a.d1, a.value AS x, b.value AS y FROM {EMB} a JOIN {EMB}
 
 
 def neighbours(spark, d):
-    """Each vector's cells beside the next vector's."""
+    """Each vector's cells, and the next vector's under the same indices."""
     e = embedding(spark, d)
-    return e.withColumnRenamed("value", "x").join(e.select((F.col("d0") - 1).alias("d0"), "d1", F.col("value").alias("y")), ["d0", "d1"])
+    return e, e.select((F.col("d0") - 1).alias("d0"), "d1", "value")
 
 
 @query(f"SELECT d0, count(*) FILTER (x IS DISTINCT FROM y) AS n_diff FROM {PAIRS} GROUP BY d0")
 def arr_count_diff(spark, d):
-    return neighbours(spark, d).groupBy("d0").agg(F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("n_diff"))
+    return C.count_diff(*neighbours(spark, d), ["d0", "d1"], ("d0",), "inner")
 
 
 @query(f"SELECT d0, bool_and(x IS NOT DISTINCT FROM y) AS equal FROM {PAIRS} GROUP BY d0")
 def arr_equal(spark, d):
-    return neighbours(spark, d).groupBy("d0").agg(F.bool_and(F.col("x").eqNullSafe(F.col("y"))).alias("equal"))
+    return C.arrays_equal(*neighbours(spark, d), ["d0", "d1"], ("d0",), "inner")
 
 
 @query("SELECT p_partkey AS k, CASE WHEN greatest(abs(p_retailprice), abs(p_size * 45.0)) < 1e-8 THEN abs(p_retailprice - p_size * 45.0) < 1e-8 ELSE abs(p_retailprice - p_size * 45.0) / greatest(abs(p_retailprice), abs(p_size * 45.0)) < 0.05 END AS near FROM part")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
@@ -16,6 +18,7 @@ from tessella.cdl import cdl
 from tessella.model import Datatype, Group, Variable
 from tessella.operators.layout import Tiling, max_chunks, size, strides
 from tessella.operators.section import Range, fill
+from tessella.runtime import ship
 from tessella.sources import h4, h5, nc3
 from tessella.sources.read import read_section
 from tessella.sources.sniff import sniff
@@ -66,6 +69,44 @@ def read_cells(spark: SparkSession, path: str, variable: str, section: str | Non
     return (r.option("section", section) if section else r).load()
 
 
+def local_path(uri: str) -> str:
+    """A file's path from Spark's name for it; only what all machines mount can be opened."""
+    parts = urlsplit(uri)
+    if parts.scheme not in ("", "file"):
+        raise ValueError(f"{uri}: files are opened by path, on a file system that all machines mount")
+    return unquote(parts.path) if parts.scheme else uri
+
+
+def read_files(spark: SparkSession, pattern: str, variable: str, section: str | None = None, layout: str = "cells", max_elements: int = MAX_ELEMENTS, like: str | None = None) -> DataFrame:
+    """A variable's cells or chunks from every file of a folder or pattern, with the file's path as `file`.
+
+    Spark lists the files and packs them into tasks by size; each is opened where it is read, and the driver opens one,
+    `like` or the least path, for the schema. Files of unknown format or without the variable give no rows; one whose
+    variable has another rank or type is an error. Lengths may differ, and the section must lie within each."""
+    ship(spark)
+    files = spark.read.format("binaryFile").load(pattern).select("path")
+    least = like or files.agg(F.min("path")).first()[0]
+    if least is None:
+        raise ValueError(f"{pattern}: no files")
+    options = {"variable": variable, "layout": layout, "max_elements": str(max_elements)} | ({"section": section} if section else {})
+    schema = CdmSource(options | {"path": local_path(least)}).schema()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in map(local_path, batch.column(0).to_pylist()):
+                ds = open_dataset(path)
+                if ds is None or ds.root.find_variable(variable) is None:
+                    continue
+                if CdmSource(options | {"path": path}).schema() != schema:
+                    raise ValueError(f"{path}: {variable} has another rank or type than in {least}")
+                reader = CdmReader(schema, options | {"path": path})
+                for part in reader.partitions():
+                    for b in reader.read(part):
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * b.num_rows, pa.string()), *b.columns], ["file", *b.schema.names])
+
+    return files.mapInArrow(run, T.StructType([T.StructField("file", T.StringType()), *schema.fields]))
+
+
 def plan(v: Variable, section: list[Range], max_elements: int) -> list[list[Range]]:
     """Boxes of a section: whole storage tiles where there are any, else pieces of bounded size."""
     if not v.shape or not size([len(r) for r in section]):
@@ -213,4 +254,4 @@ class CdmSource(DataSource):
         return CdmReader(schema, dict(self.options))
 
 
-__all__ = ["CdmSource", "Dataset", "Datatype", "open_dataset", "read_cells"]
+__all__ = ["CdmSource", "Dataset", "Datatype", "open_dataset", "read_cells", "read_files"]

@@ -54,6 +54,8 @@ class File:
                 raise NotImplementedError("offsets and lengths of 8 bytes only")
             return struct.unpack("<Q", self.at((56 if version == 0 else 60) + 8, 8))[0]
         if version in (2, 3):
+            if head[1:3] != b"\x08\x08":
+                raise NotImplementedError("offsets and lengths of 8 bytes only")
             return struct.unpack("<Q", self.at(36, 8))[0]
         raise NotImplementedError(f"superblock version {version}")
 

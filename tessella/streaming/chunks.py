@@ -1,4 +1,4 @@
-"""User functions over chunks: one call per chunk, in parallel with reading and decoding."""
+"""User functions over chunks, in parallel with reading and decoding."""
 
 from __future__ import annotations
 
@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def map_chunks(chunks: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str) -> DataFrame:
-    """fn over Arrow batches of chunk rows; batches stay inside Spark's tasks."""
+def map_chunks(chunks: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str, each: bool = False) -> DataFrame:
+    """fn over Arrow batches of chunk rows, or over each chunk alone; batches stay inside Spark's tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield fn(b)
+            if each:
+                yield from (fn(b.slice(k, 1)) for k in range(b.num_rows))
+            else:
+                yield fn(b)
 
     return chunks.mapInArrow(run, schema)
 

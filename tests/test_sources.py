@@ -5,7 +5,7 @@ import pytest
 
 from tessella.sources import fixtures as W
 from tessella.sources import odl
-from tessella.sources.dataset import open_dataset, plan, read_cells
+from tessella.sources.dataset import open_dataset, plan, read_cells, read_files
 from tessella.sources.read import read_section
 from tessella.sources.sniff import sniff
 from tessella.operators.section import Range, fill
@@ -275,3 +275,46 @@ def test_records():
 
     r = Record(">").field("n", "H").array("tags", "H", "n").skip(1).text("name", lambda v: v["n"] + 1)
     assert r.read(b"\0\2\0\5\0\6-abc") == ({"n": 2, "tags": [5, 6], "name": "abc"}, 10)
+
+
+def test_many_files(spark, tmp_path):
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    want = {}
+    for k in range(7):
+        n = 2 + k % 3
+        data = np.arange(n * 4).reshape(n, 4) + 100 * k
+        path = write(folder, f"{k}.nc", W.netcdf3({"x": n, "y": 4}, [("v", "int", ["x", "y"], data, {})], {}, 1, 0))
+        want |= {(path, i, j): int(data[i, j]) for i in range(n) for j in range(4)}
+    write(folder, "other.nc", W.netcdf3({"x": 1}, [("w", "int", ["x"], np.zeros(1, int), {})], {}, 1, 0))
+    write(folder, "text.nc", b"not a data file")
+    got = read_files(spark, str(folder), "v")
+    assert got.columns == ["file", "d0", "d1", "elem", "value"]
+    assert {(r.file, r.d0, r.d1): r.value for r in got.collect()} == want
+    some = read_files(spark, f"{folder}/[0-6].nc", "v", "1, 1:2").collect()
+    assert {(r.file, r.d0, r.d1): r.value for r in some} == {k: x for k, x in want.items() if k[1] == 1 and k[2] in (1, 2)}
+    chunks = read_files(spark, f"{folder}/[0-6].nc", "v", layout="chunks").collect()
+    assert sorted(x for r in chunks for x in r.data) == sorted(want.values())
+    write(folder, "9.nc", W.netcdf3({"x": 3}, [("v", "int", ["x"], np.zeros(3, int), {})], {}, 1, 0))
+    with pytest.raises(Exception, match="another rank"):
+        read_files(spark, str(folder), "v").collect()
+
+
+def test_each_chunk_alone(spark):
+    import pyarrow as pa
+
+    from tessella.streaming.chunks import map_chunks
+
+    chunks = spark.range(20, numPartitions=2)
+    rows = map_chunks(chunks, lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]), "n long", each=True).collect()
+    assert [r.n for r in rows] == [1] * 20
+
+
+def test_breadth_first(spark):
+    from tessella.operators.tree import breadth_first
+
+    links = [(k, k + 1) for k in range(12)] + [(12, 0), (3, 3), (0, 5), (20, 21), (None, 1), (4, None)]
+    got = breadth_first(spark.createDataFrame(links, "parent long, node long"), spark.createDataFrame([(0,), (None,)], "node long"))
+    assert {r.node: r.depth for r in got.collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4} | {k: k - 4 for k in range(5, 13)}
+    none = breadth_first(spark.createDataFrame([], "parent long, node long"), spark.createDataFrame([], "node long"))
+    assert none.count() == 0
