@@ -14,7 +14,7 @@ from tessella.llm.components import connected_components
 from tessella.llm.decontaminate import contamination, digest
 from tessella.llm.fingerprints import compare_edits, likeness, with_fingerprint
 from tessella.llm.jaccard import jaccard_components
-from tessella.llm.line_dedup import DISTANCE, dedup_lines, simhashes
+from tessella.llm.line_dedup import DISTANCE, candidates, dedup_lines, key_lists, possible, simhashes
 from tessella.llm.sharding import CommitConflict, SchemaConflict, Shard, ShardStore, shard_members
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -402,6 +402,34 @@ def test_recall_of_edited_lines(spark, hot_rows):
     assert [kept[2 * twins + len(many) + k] for k in range(len(logs))] == [int(g == k) for k, g in enumerate(first)]
 
 
+def classes_of(df):
+    """What key_lists and candidates need to know of lines that are documents of their own."""
+    one = df.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row"), F.lit(0).alias("line"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
+    return one.withColumn("first", F.struct("doc", "line", "row"))
+
+
+def test_keys_do_not_depend_on_other_documents(spark):
+    """A line's keys are the same whatever else is in the corpus: neither order nor number comes from a sample."""
+    rng = random.Random(17)
+    base = [rng.choice(WORDS) for _ in range(60)]
+    rows = [(k, " ".join([*base[:at], "changed", *base[at + 1 :]])) for k, at in enumerate((5, 30))]
+    more = [(k, " ".join([f"x{k}", *base[k % 55 : k % 55 + 5]])) for k in range(2, 2000)]
+    lists = lambda r: key_lists(df := frame(spark, r), "text", "doc_id", classes_of(df).where("false"))
+    alone = {tuple(r) for r in lists(rows).select("key", "uid").collect()}
+    assert len(alone) >= 20 and alone <= {tuple(r) for r in lists(rows + more).select("key", "uid").collect()}
+
+
+def test_signs_hold_unequal_lengths(spark):
+    """Lines with a common passage of 60 words: 12 more words against 20 are 20 edits, of which 16 are allowed; 12 against 12 pass."""
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(k, " ".join([f"w{k}x{j}" for j in range(n)] + passage)) for k, n in enumerate((12, 12, 20))]
+    df = frame(spark, rows)
+    classes = classes_of(df).withColumn("uid", F.col("doc").cast("long"))
+    _, signs = candidates(classes.select("uid"), classes, df, "text", "doc_id")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
+    assert {(r["a"], r["b"]) for r in possible(pairs, signs).collect()} == {(0, 1)}
+
+
 def test_very_long_lines(spark):
     """Near lines of more than 32,766 words."""
     rng = random.Random(15)
