@@ -14,7 +14,7 @@ from tessella.llm.components import connected_components
 from tessella.llm.decontaminate import contamination, digest
 from tessella.llm.fingerprints import compare_edits, likeness, with_fingerprint
 from tessella.llm.jaccard import jaccard_components
-from tessella.llm.line_dedup import DISTANCE, candidates, dedup_lines, key_lists, possible, simhashes
+from tessella.llm.line_dedup import DISTANCE, candidates, dedup_lines, key_lists, line_keys, possible, simhashes
 from tessella.llm.sharding import CommitConflict, SchemaConflict, Shard, ShardStore, shard_members
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -414,9 +414,11 @@ def test_keys_do_not_depend_on_other_documents(spark):
     base = [rng.choice(WORDS) for _ in range(60)]
     rows = [(k, " ".join([*base[:at], "changed", *base[at + 1 :]])) for k, at in enumerate((5, 30))]
     more = [(k, " ".join([f"x{k}", *base[k % 55 : k % 55 + 5]])) for k in range(2, 2000)]
-    lists = lambda r: key_lists(df := frame(spark, r), "text", "doc_id", classes_of(df).where("false"))
-    alone = {tuple(r) for r in lists(rows).select("key", "uid").collect()}
-    assert len(alone) >= 20 and alone <= {tuple(r) for r in lists(rows + more).select("key", "uid").collect()}
+    keys = lambda r: {tuple(x) for x in line_keys(df := frame(spark, r), "text", "doc_id", classes_of(df).where("false")).collect()}
+    alone, among = keys(rows), keys(rows + more)
+    assert len(alone) >= 20 and alone == {x for x in among if x[0] in {u for u, _ in alone}}
+    lists = key_lists(df := frame(spark, rows), "text", "doc_id", classes_of(df).where("false")).collect()
+    assert len(lists) == 2 and len({r["key"] for r in lists}) == 1, "lists of the same two classes are one"
 
 
 def test_signs_hold_unequal_lengths(spark):
