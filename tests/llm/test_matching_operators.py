@@ -414,11 +414,15 @@ def test_keys_do_not_depend_on_other_documents(spark):
     base = [rng.choice(WORDS) for _ in range(60)]
     rows = [(k, " ".join([*base[:at], "changed", *base[at + 1 :]])) for k, at in enumerate((5, 30))]
     more = [(k, " ".join([f"x{k}", *base[k % 55 : k % 55 + 5]])) for k in range(2, 2000)]
-    keys = lambda r: {tuple(x) for x in line_keys(df := frame(spark, r), "text", "doc_id", classes_of(df).where("false")).collect()}
-    alone, among = keys(rows), keys(rows + more)
+
+    def of(f, r):
+        df = frame(spark, r)
+        return {tuple(x) for x in f(df, "text", "doc_id", classes_of(df).where("false")).select("uid", "key").collect()}
+
+    alone, among = of(line_keys, rows), of(line_keys, rows + more)
     assert len(alone) >= 20 and alone == {x for x in among if x[0] in {u for u, _ in alone}}
-    lists = key_lists(df := frame(spark, rows), "text", "doc_id", classes_of(df).where("false")).collect()
-    assert len(lists) == 2 and len({r["key"] for r in lists}) == 1, "lists of the same two classes are one"
+    lists = of(key_lists, rows)
+    assert len(lists) == 2 and len({k for _, k in lists}) == 1, "lists of the same two classes are one"
 
 
 def test_signs_hold_unequal_lengths(spark):
