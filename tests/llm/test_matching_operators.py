@@ -14,7 +14,7 @@ from tessella.llm.components import connected_components
 from tessella.llm.decontaminate import contamination, digest
 from tessella.llm.fingerprints import compare_edits, likeness, with_fingerprint
 from tessella.llm.jaccard import jaccard_components
-from tessella.llm.line_dedup import DISTANCE, candidates, dedup_lines, key_lists, line_keys, possible, simhashes
+from tessella.llm.line_dedup import DISTANCE, EDITS, LOST, RARE, _enough, _keys, candidates, dedup_lines, key_lists, line_keys, possible, simhashes
 from tessella.llm.sharding import CommitConflict, SchemaConflict, Shard, ShardStore, shard_members
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -425,6 +425,24 @@ def test_keys_do_not_depend_on_other_documents(spark):
     assert len(lists) == 2 and len({k for _, k in lists}) == 1, "lists of the same two classes are one"
 
 
+def test_number_of_keys(spark):
+    """As many keys as the bound asks for; beyond the table no fewer. Lines are split once."""
+    some = [(e, r, k) for k in (2, 3) for e in (0, 1, 3, 7, 20, 31, 32, 90, 6000) for r in (0, 1, k * e - 1, k * e, k * e + 1, 5 * e, 159, 160, 5 * e + 40) if r >= 0]
+    df = spark.createDataFrame(some, "e long, r long, k int")
+    for k in (2, 3):
+        for x in df.where(f"k = {k}").withColumn("many", _keys(F.col("e"), k, F.col("r"))).collect():
+            least = _enough(k * x["e"], x["r"])
+            if x["e"] < EDITS and x["r"] < RARE:
+                assert x["many"] == least, x
+            else:
+                chance = lambda p: ((k * x["e"] - (p - 1) / 2) / (x["r"] - (p - 1) / 2)) ** p  # noqa: B023, E731
+                assert x["many"] == k * x["e"] + 1 or x["r"] > k * x["e"] and chance(x["many"]) <= LOST, x
+    df = frame(spark, [(1, "a b c d e")])
+    plan = spark._jvm.PythonSQLUtils.explainString(line_keys(df, "text", "doc_id", classes_of(df).where("false"))._jdf.queryExecution(), "simple")
+    assert not [x for x in plan.split("\n") if "Filter" in x and "split(" in x], "lines are split once"
+    assert not [x for x in plan.split("\n") if "Generate explode" in x and "lambda" in x], "Spark can compile the step that gives keys"
+
+
 def test_signs_hold_unequal_lengths(spark):
     """Lines with a common passage of 60 words: 12 more words against 20 are 20 edits, of which 16 are allowed; 12 against 12 pass."""
     passage = [f"p{k}" for k in range(60)]
