@@ -14,7 +14,8 @@ from tessella.llm.components import connected_components
 from tessella.llm.decontaminate import contamination, digest
 from tessella.llm.fingerprints import compare_edits, likeness, with_fingerprint
 from tessella.llm.jaccard import jaccard_components
-from tessella.llm.line_dedup import DISTANCE, EDITS, LOST, RARE, _enough, _keys, candidates, dedup_lines, key_lists, line_keys, possible, simhashes
+from tessella.llm.line_dedup import DISTANCE, EDITS, LOST, RARE, _enough, _keys, candidates, dedup_lines, key_lists, line_keys, marked, maybe, possible, simhashes
+from tessella.llm.linking import unconnected
 from tessella.llm.sharding import CommitConflict, SchemaConflict, Shard, ShardStore, shard_members
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -454,6 +455,53 @@ def test_signs_hold_unequal_lengths(spark):
     assert {(r["a"], r["b"]) for r in possible(pairs, signs).collect()} == {(0, 1)}
 
 
+def test_pairs_of_shared_lists_are_made_once(spark, monkeypatch):
+    """Two large lists of the same classes and a small one: the join gives every pair once, those with a list's `lo` not at all."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    rows = [(key, uid, lo, uid, 1, 20) for key, lo in ((1, 0), (2, 5)) for uid in range(20)] + [(3, uid, 30, uid, 30, 3) for uid in (30, 31, 32)]
+    members = spark.createDataFrame(rows, "key long, uid long, lo long, component long, main long, size long")
+    signs = spark.createDataFrame([(uid, -uid) for uid in range(33)], "uid long, h2 long")
+    monkeypatch.setattr(Classic, "distinct", lambda self: self)
+    made = [tuple(r) for r in unconnected(members, signs, lambda a, b: F.col(f"{a}uid") != F.col(f"{b}uid")).collect()]
+    assert sorted(made) == sorted([(a, -a, b, -b) for a in range(1, 20) for b in range(a + 1, 20)] + [(31, -31, 32, -32)])
+
+
+def test_marks_hold_every_link(spark):
+    """What every class has from the start rules out no similar lines, of few and many words and with many repeats, and most others."""
+    rng = random.Random(19)
+    lines = []
+    for n in (5, 12, 40, 90):
+        for few in (3, 2000):
+            base = [f"w{rng.randrange(few)}" for _ in range(n)]
+            for edits in (0, 1, n // 10, n // 5, n // 4, n // 2):
+                w = list(base)
+                for _ in range(edits):
+                    at = rng.randrange(len(w))
+                    w[at : at + rng.choice([0, 1, 1])] = [f"x{rng.randrange(few)}"] * rng.choice([1, 1, 2])
+                lines.append(w)
+    many = [f"w{rng.randrange(9)}" for _ in range(600)]
+    last = len(lines)
+    lines += [many, [*many[:300], *(f"x{k}" for k in range(60)), *many[360:]]]
+    rows = marked(spark.createDataFrame(list(enumerate(lines)), "k long, w array<string>")).withColumnRenamed("words", "n")
+    side = lambda p: rows.select(*[F.col(c).alias(f"{p}{c}") for c in rows.columns])
+    got = {(r["ak"], r["bk"]) for r in side("a").join(side("b"), F.col("ak") < F.col("bk")).where(maybe("a", "b")).select("ak", "bk").collect()}
+    near = {(a, b) for b in range(last) for a in range(b) if levenshtein(lines[a], lines[b]) <= 0.2 * max(len(lines[a]), len(lines[b])) + 1e-9} | {(last, last + 1)}
+    assert len(near) > 30 and near <= got and len(got) < len(lines) * (len(lines) - 1) / 6
+
+
+def test_pairs_of_long_words_are_keys(spark):
+    """Lines of twelve words that share a half of shorter words only have no common key."""
+    short, long_ = "alpha gamma delta theta kappa omega".split(), [[f"{c}{k}verylongword" for k in range(6)] for c in "xy"]
+    rows = [(10 * k + j, " ".join(short[j:] + short[:j] + words)) for j in range(6) for k, words in enumerate(long_)]
+    df = frame(spark, rows)
+    uids = {r["h1"]: r["doc"] % 100 for r in classes_of(df).collect()}
+    keys = {}
+    for uid, key in (tuple(r) for r in line_keys(df, "text", "doc_id", classes_of(df).where("false")).collect()):
+        keys.setdefault(next(d for h, d in uids.items() if h >> 8 == uid >> 8) // 10, set()).add(key)
+    assert len(keys) == 2 and not keys[0] & keys[1]
+
+
 def test_very_long_lines(spark):
     """Near lines of more than 32,766 words."""
     rng = random.Random(15)
