@@ -15,7 +15,7 @@ from tessella.llm.decontaminate import contamination, digest
 from tessella.llm.fingerprints import compare_edits, likeness, with_fingerprint
 from tessella.llm.jaccard import jaccard_components
 from tessella.llm.line_dedup import DISTANCE, EDITS, LOST, RARE, _enough, _keys, candidates, dedup_lines, key_lists, line_keys, marked, maybe, possible, simhashes
-from tessella.llm.linking import unconnected
+from tessella.llm.linking import open_lists, signed, unconnected
 from tessella.llm.sharding import CommitConflict, SchemaConflict, Shard, ShardStore, shard_members
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -467,6 +467,29 @@ def test_pairs_of_shared_lists_are_made_once(spark, monkeypatch):
     assert sorted(made) == sorted([(a, -a, b, -b) for a in range(1, 20) for b in range(a + 1, 20)] + [(31, -31, 32, -32)])
 
 
+def test_lists_are_shuffled_once(spark):
+    """Rows of open lists go to their list's task once, with their signs, and give the pairs of different components."""
+    rng = random.Random(23)
+    lists = {k: rng.sample(range(60), n) for k, n in enumerate((2, 3, 5, 17, 30, 40))}
+    component = {u: u - u % 3 for u in range(0, 60, 2)}
+    rows = [(k, u, max(us), len(us)) for k, us in lists.items() for u in us]
+    members = signed(spark.createDataFrame(rows, "key long, uid long, lo long, size long"), spark.createDataFrame([(u, -u) for u in range(60)], "uid long, h2 long"))
+    known = spark.createDataFrame(list(component.items()), "uid long, component long")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = unconnected(open_lists(members, F.broadcast(known)), None, lambda a, b: F.lit(True))
+        plan = spark._jvm.PythonSQLUtils.explainString(made._jdf.queryExecution(), "simple").split("\n")
+        got = [(r["a"], r["ha"], r["b"], r["hb"]) for r in made.collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len([x for x in plan if "- Exchange hashpartitioning(key" in x]) == 1 and any("ReusedExchange" in x for x in plan)
+    of = lambda u: component.get(u, u)
+    held = {(min(u, max(us)), max(u, max(us))) for us in lists.values() for u in us}
+    pairs = {(a, b) for us in lists.values() if len(us) > 2 for a in us for b in us if a < b and max(us) not in (a, b) and of(a) != of(b)}
+    assert len(got) == len(set(got)) and {(a, b) for a, _, b, _ in got} - held == pairs - held and all((ha, hb) == (-a, -b) for a, ha, b, hb in got)
+
+
 def test_marks_hold_every_link(spark):
     """What every class has from the start rules out no similar lines, of few and many words and with many repeats, and most others."""
     rng = random.Random(19)
