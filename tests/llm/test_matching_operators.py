@@ -575,22 +575,22 @@ def test_shard_schemas(spark, tmp_path):
     assert {r["version"] for r in got} == {2} and len({r["shard"] for r in got}) == 2 and all(r["shard"].endswith(".parquet") for r in got)
 
 
-def test_lines_are_made_once(spark, monkeypatch):
-    """Keys and words come from the lines first written; with many lines wanted, documents are not dealt out anew, and the result is the same."""
+def test_only_documents_that_may_be_wanted_are_shuffled(spark, monkeypatch):
+    """With many documents wanted, a bitmap picks them before the join, and the result is the same."""
     from tessella.llm import line_dedup
 
-    rng, made = random.Random(31), []
+    rng, picked = random.Random(31), []
     rows = [(k, "\n".join(family(random.Random(k % 5 + j), 12, 0) + (" more" if k % 3 else "") for j in range(3)) + f"\n{family(rng, 9, 0)}") for k in range(40)]
     rows += [rows[3], (None, "a b c d e"), (77, None)]
-    of = line_dedup.lines_of
-    monkeypatch.setattr(line_dedup, "lines_of", lambda *a: made.append(1) or of(*a))
     want = sorted(map(repr, dedup_lines(frame(spark, rows)).collect()))
-    assert made == [1]
+    of = line_dedup.perhaps_in
+    monkeypatch.setattr(line_dedup, "perhaps_in", lambda *a: picked.append(1) or of(*a))
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
     assert sorted(map(repr, dedup_lines(frame(spark, rows)).collect())) == want
+    assert picked
 
 
-def test_bitmap_of_wanted_lines(spark):
+def test_bitmap_of_wanted_rows(spark):
     from tessella.llm.line_dedup import perhaps_in
 
     rows = spark.range(20_000).select(F.col("id").alias("doc"), F.lit(5).cast("long").alias("row"), F.col("id").cast("int").alias("line"))
